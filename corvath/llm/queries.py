@@ -1,21 +1,98 @@
-"""The registered queries of the numbered problems."""
+"""The registered queries of the numbered problems, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvath.session import table
+from corvath.session import cut_lineage, table
 
-from . import bpe
+from . import bpe, packing, site_lines, splitting
+
+CHAR_FIELDS = {"ingested_documents.raw_content": ("ingested_documents", "raw_content"), "document_chunks.content": ("document_chunks", "content")}
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that the splitter cuts, from its table of pieces."""
+    limits = table(spark, sf_dir, "size_limits")
+    parts = [
+        splitting.pieces(table(spark, sf_dir, name), "id", column, splitting.limits_of(limits, field)).select("limit_name", "record_id")
+        for field, (name, column) in CHAR_FIELDS.items()
+    ]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = table(spark, sf_dir, "size_limits")
+    documents, chunks = table(spark, sf_dir, "ingested_documents"), table(spark, sf_dir, "document_chunks")
+    of_documents = splitting.split_records(documents, "id", "raw_content", splitting.limits_of(limits, "ingested_documents.raw_content"))
+    of_chunks = splitting.split_records(chunks, "id", "content", splitting.limits_of(limits, "document_chunks.content"), "location_meta")
+    return of_documents.withColumn("location_meta", F.lit(None).cast(chunks.schema["location_meta"].dataType)).unionByName(of_chunks)
+
+
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.domains_of_documents(table(spark, sf_dir, "crawl_pages"), table(spark, sf_dir, "crawl_jobs"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.repeated_lines(table(spark, sf_dir, "ingested_documents"), _sites(spark, sf_dir)).select("domain", "line")
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, sites = table(spark, sf_dir, "ingested_documents"), _sites(spark, sf_dir)
+    return site_lines.without_repeated_lines(documents, sites, site_lines.repeated_lines(documents, sites))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    limits = table(spark, sf_dir, "size_limits").where("field_name = 'documents.text' and unit = 'token'")
+    sizes = cut_lineage(bpe.token_counts(table(spark, sf_dir, "documents")))  # counted once, read by every round
+    return packing.pack(sizes, limits), limits
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)[0]
+
+
+def p8_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.certificate(*_packed(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p6_found": p6_found,
+    "p6_clean": p6_clean,
     "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
+    "p8_certificate": p8_certificate,
+}
+
+_SITE_LINES = r"""
+with sites as (
+  select distinct p.document_id, lower(trim(j.domain)) as domain
+  from crawl_pages p join crawl_jobs j on j.id = p.job_id where p.document_id is not null and j.domain is not null),
+texts as (select s.domain, d.id, d.raw_content from ingested_documents d join sites s on s.document_id = d.id where d.raw_content is not null),
+totals as (select domain, count(distinct id) as n from texts group by domain),
+lines as (
+  select distinct domain, id, regexp_replace(lower(trim(regexp_replace(raw, '[ \t\r]+', ' ', 'g'))), '[0-9]+', '0', 'g') as line
+  from (select domain, id, unnest(string_split(raw_content, chr(10))) as raw from texts)),
+repeated as (
+  select l.domain, l.line from lines l join totals t on t.domain = l.domain
+  where l.line <> '' group by l.domain, l.line, t.n having count(*) >= 10 and count(*) >= 0.1 * t.n)
+"""
+
+SQL: dict[str, str] = {
+    "p4_found": """
+select distinct l.limit_name, d.id as record_id from ingested_documents d join size_limits l
+  on l.field_name = 'ingested_documents.raw_content' and l.unit = 'char' and length(d.raw_content) > l.max_size
+union
+select distinct l.limit_name, c.id from document_chunks c join size_limits l
+  on l.field_name = 'document_chunks.content' and l.unit = 'char' and length(c.content) > l.max_size""",
+    "p6_found": _SITE_LINES + "select domain, line from repeated",
 }
-SQL: dict[str, str] = {}
