@@ -1,9 +1,8 @@
 """Filling containers of fixed capacity: best-fit decreasing per group of items, certified by lower bounds.
 
 Items are spread over groups of bounded size. Every group is packed by best-fit decreasing, and a lower bound from dual
-feasible functions certifies how many bins it needs at least. Groups whose bins exceed their bound release the items of
-their bins with free room; the released items of all such groups meet in fewer, newly mixed, larger groups and are
-packed again. A round that doesn't need fewer bins than the ones it took apart isn't kept.
+feasible functions certifies how many bins it needs at least. Groups whose bins exceed their bound exchange
+their items: those of all such groups meet in fewer, newly mixed, larger groups and are packed again. A round that doesn't need fewer bins than the ones it took apart isn't kept.
 """
 
 from __future__ import annotations
@@ -115,7 +114,7 @@ def pack(sizes: DataFrame, limits: DataFrame, group_items: int = GROUP_ITEMS, ro
     )
     packed = cut_lineage(_round(items, 0, group_items))
     for number in range(1, rounds):
-        free = (F.col("gap") > 0) & (F.col("bin_fill") < F.col("capacity"))
+        free = F.col("gap") > 0
         released = packed.where(free)
         if released.isEmpty():
             break
