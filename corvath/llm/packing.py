@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity: best-fit decreasing per group of items, certified by lower bounds.
 
 Items are spread over groups of bounded size. Every group is packed by best-fit decreasing, and a lower bound from dual
-feasible functions certifies how many bins it needs at least. Groups whose bins exceed their bound exchange
-their items: those of all such groups meet in fewer, newly mixed, larger groups and are packed again. A round that doesn't need fewer bins than the ones it took apart isn't kept.
+feasible functions certifies how many bins it needs at least. Groups whose bins exceed their bound, or that leave a
+bin's worth of room because large items prevail in them, exchange their items: those of all such groups meet in fewer, newly mixed, larger groups and are packed again. A round that doesn't need fewer bins than the ones it took apart isn't kept.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["doc_id", "piece_no"], kind="stable", na_position="first").reset_index(drop=True)
     capacity, sizes = int(pdf["capacity"].iloc[0]), pdf["n_tokens"].to_numpy()
     bins, fill = best_fit_decreasing(sizes, capacity)
-    return pdf.assign(bin=bins, bin_fill=fill[bins], gap=len(fill) - lower_bound(sizes, capacity))
+    return pdf.assign(bin=bins, bin_fill=fill[bins], gap=max(len(fill) - lower_bound(sizes, capacity), (len(fill) * capacity - int(sizes.sum())) // capacity))
 
 
 _PACKED = "limit_name string, capacity int, doc_id {id}, piece_no int, token_start bigint, n_tokens bigint, round int, grp bigint, bin bigint, bin_fill bigint, gap bigint"
