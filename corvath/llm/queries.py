@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvath.session import cut_lineage, table
 
-from . import bpe, packing, site_lines, splitting
+from . import bpe, packing, site_lines, spans, splitting
 
 CHAR_FIELDS = {"ingested_documents.raw_content": ("ingested_documents", "raw_content"), "document_chunks.content": ("document_chunks", "content")}
 
@@ -63,6 +63,19 @@ def p8_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.certificate(*_packed(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.merged(spans.shared_spans(table(spark, sf_dir, "documents")))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return spans.shares(documents, spans.shared_spans(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
@@ -71,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_certificate": p8_certificate,
+    "p9_found": p9_found,
+    "p9_runs": p9_runs,
+    "p9_shares": p9_shares,
 }
 
 _SITE_LINES = r"""
@@ -87,7 +103,24 @@ repeated as (
   where l.line <> '' group by l.domain, l.line, t.n having count(*) >= 10 and count(*) >= 0.1 * t.n)
 """
 
+_SPANS = """
+with windows as (
+  select doc_id, length(text) as n, i, md5(substring(text, i, 200)) as h
+  from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)),
+shared as (select h from windows group by h having count(distinct doc_id) > 1),
+hits as (select distinct w.doc_id, w.i from windows w join shared s on s.h = w.h),
+marked as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 200 then 0 else 1 end as new from hits),
+runs as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from marked),
+merged as (select doc_id, (min(i) - 1)::int as "start", (max(i) + 199)::int as "end" from runs group by doc_id, run)
+"""
+
 SQL: dict[str, str] = {
+    "p9_found": _SPANS + "select distinct doc_id from hits",
+    "p9_runs": _SPANS + 'select doc_id, "start", "end" from merged',
+    "p9_shares": _SPANS + """
+select d.doc_id, coalesce(length(d.text), 0) as n_chars, coalesce(c.covered, 0)::bigint as shared_chars,
+  case when length(d.text) > 0 then round(coalesce(c.covered, 0) / length(d.text), 6) else 0.0 end as share
+from documents d left join (select doc_id, sum("end" - "start") as covered from merged group by doc_id) c on c.doc_id = d.doc_id""",
     "p4_found": """
 select distinct l.limit_name, d.id as record_id from ingested_documents d join size_limits l
   on l.field_name = 'ingested_documents.raw_content' and l.unit = 'char' and length(d.raw_content) > l.max_size
