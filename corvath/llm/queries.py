@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvath.session import cut_lineage, table
 
-from . import bpe, packing, site_lines, spans, splitting
+from . import bpe, near_duplicates, packing, site_lines, spans, splitting
 
 CHAR_FIELDS = {"ingested_documents.raw_content": ("ingested_documents", "raw_content"), "document_chunks.content": ("document_chunks", "content")}
 
@@ -32,6 +32,18 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_documents.withColumn("location_meta", F.lit(None).cast(chunks.schema["location_meta"].dataType)).unionByName(of_chunks)
 
 
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "ingested_documents"), threshold=0.6, shingle=3)  # as TESTDATA.md has it
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.all_pairs(*_near(spark, sf_dir))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(*_near(spark, sf_dir))
+
+
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.domains_of_documents(table(spark, sf_dir, "crawl_pages"), table(spark, sf_dir, "crawl_jobs"))
 
@@ -79,6 +91,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
     "p7_ids": p7_ids,
@@ -127,5 +141,11 @@ select distinct l.limit_name, d.id as record_id from ingested_documents d join s
 union
 select distinct l.limit_name, c.id from document_chunks c join size_limits l
   on l.field_name = 'document_chunks.content' and l.unit = 'char' and length(c.content) > l.max_size""",
+    "p5_found": r"""
+with words as (select id, list_filter(regexp_split_to_array(lower(raw_content), '[ \t\r\n]+'), lambda w: w <> '') as w from ingested_documents where raw_content is not null),
+shingles as (select distinct id, hash(s) as s from (select id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i+2])) as s from words where len(w) >= 3)),
+sizes as (select id, count(*) as n from shingles group by id),
+common as (select a.id as id_a, b.id as id_b, count(*) as c from shingles a join shingles b on a.s = b.s and a.id < b.id group by 1, 2)
+select id_a, id_b from common join sizes x on x.id = id_a join sizes y on y.id = id_b where c >= 0.6 * (x.n + y.n - c)""",
     "p6_found": _SITE_LINES + "select domain, line from repeated",
 }
