@@ -22,11 +22,14 @@ from corvath.session import cut_lineage
 MIN_LENGTH = 200
 SEED = 32
 #: Up to so many rows of one key are compared in pairs; the rows of a larger group go by windows, which needs no pairs.
-PAIR_ROWS = 16
+PAIR_ROWS = 64
+#: Up to so many ids of copies (some 16 bytes each) are broadcast to leave the copies out; more of them are joined.
+BROADCAST_IDS = 100_000
 SEGMENT = 1_000_000
 _MASK = (1 << 64) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so that each has an inverse modulo 2^64
 _POS_BITS = 28
+_PLACE_BITS = 20  # of a stretch's length and its mark
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -114,10 +117,8 @@ def _anchor_rows(block: int):
                 held += len(x[0])
                 if held > 100_000 or i == len(batch) - 1:
                     start, end, key, indexed = (np.concatenate(y) for y in zip(*found))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), ids.take(pa.array(np.concatenate(index))), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(indexed)],
-                        names=["key", "doc_id", "start", "end", "indexed"],
-                    )
+                    place = start << _PLACE_BITS | (end - start) << 1 | indexed  # one column, as a shuffled row pays for each
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(np.concatenate(index))), pa.array(place)], names=["key", "doc_id", "place"])
                     index, found, held = [], [], 0
 
     return rows
@@ -181,18 +182,20 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     much as one. Null, empty and shorter texts, null ids and repeated rows of one id give no rows, nor does an empty table.
     """
     block = min_length // 2
-    if block < SEED:
-        raise ValueError(f"min_length must be at least {2 * SEED}")
+    if not SEED <= block < 1 << (_PLACE_BITS - 3):
+        raise ValueError(f"min_length must lie between {2 * SEED} and {1 << (_PLACE_BITS - 2)}")
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where((F.length(text_col) >= min_length) & F.col(id_col).isNotNull())
     id_type = texts.schema["doc_id"].dataType.simpleString()
     copies = cut_lineage(_copies(texts))
-    single = texts.join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
+    others = copies.where("doc_id <> rep").select("doc_id")
+    single = texts.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, "doc_id", "left_anti")
 
     by_key = Window.partitionBy("key")
-    found = single.mapInArrow(_anchor_rows(block), f"key bigint, doc_id {id_type}, start int, end int, indexed boolean")
+    found = single.mapInArrow(_anchor_rows(block), f"key bigint, doc_id {id_type}, place bigint")
     shared = cut_lineage(
-        found.select("*", F.min("doc_id").over(by_key).alias("least"), F.max("doc_id").over(by_key).alias("last"), F.max("indexed").over(by_key).alias("hit"), F.count(F.lit(1)).over(by_key).alias("n"))
-        .where("least <> last and hit").select("key", "doc_id", "start", "end", "n")
+        found.select("*", F.min("doc_id").over(by_key).alias("least"), F.max("doc_id").over(by_key).alias("last"), F.max(F.col("place").bitwiseAND(1)).over(by_key).alias("hit"), F.count(F.lit(1)).over(by_key).alias("n"))
+        .where("least <> last and hit = 1")
+        .select("key", "doc_id", F.shiftright("place", _PLACE_BITS).cast("int").alias("start"), (F.shiftright("place", _PLACE_BITS) + F.shiftright(F.col("place").bitwiseAND((1 << _PLACE_BITS) - 1), 1)).cast("int").alias("end"), "n")
     )
 
     # Neighbouring shared stretches of a record form a chain. Every window of min_length within a run holds a whole block,
