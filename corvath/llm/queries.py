@@ -9,11 +9,26 @@ from pyspark.sql import functions as F
 
 from corvath.session import cut_lineage, table
 
-from . import bpe, near_duplicates, packing, site_lines, spans, splitting
+from . import bpe, encodings, near_duplicates, packing, site_lines, spans, splitting
 
 CHAR_FIELDS = {"ingested_documents.raw_content": ("ingested_documents", "raw_content"), "document_chunks.content": ("document_chunks", "content")}
 
 
+def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "ingested_documents").select(F.lit("document").alias("record_kind"), F.col("id").alias("record_id"), F.col("raw_content").alias("text"))
+    chunks = table(spark, sf_dir, "document_chunks").select(F.lit("chunk").alias("record_kind"), F.col("id").alias("record_id"), F.col("content").alias("text"))
+    records = documents.unionByName(chunks)
+    return encodings.wrongly_decoded(records, encodings.learn(records.select("text")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(spark, sf_dir).select("record_kind", "record_id").distinct()
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(spark, sf_dir).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that the splitter cuts, from its table of pieces."""
     limits = table(spark, sf_dir, "size_limits")
@@ -89,6 +104,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
