@@ -9,11 +9,21 @@ from pyspark.sql import functions as F
 
 from corvath.session import cut_lineage, table
 
-from . import bpe, encodings, near_duplicates, packing, site_lines, spans, splitting
+from . import bpe, encodings, near_duplicates, packing, page_noise, site_lines, spans, splitting
 
 CHAR_FIELDS = {"ingested_documents.raw_content": ("ingested_documents", "raw_content"), "document_chunks.content": ("document_chunks", "content")}
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noise, _, _ = page_noise.page_noise(table(spark, sf_dir, "ingested_documents"), table(spark, sf_dir, "document_chunks"))
+    return noise.select("chunk_id", "noise").distinct()
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noise, pages, _ = page_noise.page_noise(table(spark, sf_dir, "ingested_documents"), table(spark, sf_dir, "document_chunks"))
+    return page_noise.cleaned(noise, pages)
+
+
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "ingested_documents").select(F.lit("document").alias("record_kind"), F.col("id").alias("record_id"), F.col("raw_content").alias("text"))
     chunks = table(spark, sf_dir, "document_chunks").select(F.lit("chunk").alias("record_kind"), F.col("id").alias("record_id"), F.col("content").alias("text"))
@@ -104,6 +114,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clean": p1_clean,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p4_found": p4_found,
