@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,9 @@ SHARD_WORDS = 20_000
 CONTEXT_BUCKETS = 1 << 18
 #: A confusion counts as seen where so many different words show it, or where it is one of the usual ones.
 MIN_WORDS = 3
+#: A masked line is a form of header where so many documents, and such a share of them, have it.
+FORM_DOCUMENTS, FORM_SHARE = 3, 0.01
+_NAME = "¤"
 MARKS = "-­‐¬"
 # Right > misread, the shapes that text recognition usually confuses.
 USUAL = "e>c h>b t>f m>rn d>cl w>vv l>I l>1 i>l i>1 o>0 g>q u>ii ü>ii n>ri rn>m cl>d vv>w s>5 b>6 c>e b>h f>t q>g I>l".split()
@@ -125,29 +129,41 @@ def letters(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalpha())
 
 
-def like_header(line: str, keys: list[str]) -> bool:
-    own = letters(line)
-    if len(own) < 8:
-        return False
-    for key in keys:
-        if own == key:
+class Headers:
+    """The running headers that a document may have: its title, its own repeated lines, forms that many documents share."""
+
+    def __init__(self, title: str | None, repeated, forms):
+        name = re.sub(r"\.pdf$", "", (title or "").strip(), flags=re.I)
+        self.keys = [k for k in dict.fromkeys([letters(name), *(repeated if repeated is not None else [])]) if len(k) >= 8]
+        # a title made from a file name lacks what isn't ASCII, and may be cut short
+        self.slug = letters(re.sub(r"-\d+$", "", name)) if re.fullmatch(r"[a-z0-9-]+", name) else ""
+        self.forms = [_form_pattern(f) for f in (forms if forms is not None else [])]
+
+    def match(self, line: str) -> bool:
+        own = letters(line)
+        if len(own) < 8:
+            return False
+        plain = "".join(c for c in own if c.isascii())
+        if len(self.slug) >= 8 and (plain == self.slug or len(self.slug) >= 20 and plain.startswith(self.slug) and len(plain) < len(self.slug) + 25):
             return True
-        if 0.75 * len(key) <= len(own) <= 1.25 * len(key) + 2:
-            m = SequenceMatcher(None, own, key, autojunk=False)
-            if m.quick_ratio() >= 0.84 and m.ratio() >= 0.84:
-                return True
-        elif len(own) >= 16 and len(key) > len(own) and key.startswith(own):  # a header cut short
+        if any(f.fullmatch(line.strip().lower()) for f in self.forms):
             return True
-    return False
+        for key in self.keys:
+            if own == key or len(own) >= 16 and len(key) > len(own) and key.startswith(own) and line.strip()[-1] not in ".,;":
+                return True
+            if 0.75 * len(key) <= len(own) <= 1.25 * len(key) + 2:
+                m = SequenceMatcher(None, own, key, autojunk=False)
+                if m.quick_ratio() >= 0.84 and m.ratio() >= 0.84:
+                    return True
+        return False
 
 
-def header_keys(title: str | None, repeated) -> list[str]:
-    keys = [re.sub(r"\.pdf$", "", (title or "").strip(), flags=re.I), *(repeated if repeated is not None else [])]
-    keys += [re.sub(r"-\d+$", "", keys[0])]
-    return [k for k in dict.fromkeys(map(letters, keys)) if len(k) >= 8]
+@cache
+def _form_pattern(form: str) -> re.Pattern:
+    return re.compile(r"\S+".join(map(re.escape, form.lower().split(_NAME))))
 
 
-def furniture(lines: list[str], pages: list[int] | None, keys: list[str]) -> list[tuple[bool, bool]]:
+def furniture(lines: list[str], pages: list[int] | None, headers: Headers) -> list[tuple[bool, bool]]:
     """Of every line, whether it holds a running header and whether it holds a page number."""
     out = []
     for i, line in enumerate(lines):
@@ -160,31 +176,49 @@ def furniture(lines: list[str], pages: list[int] | None, keys: list[str]) -> lis
             out.append((False, not column))
             continue
         rest, number = split_marker(line, pages)
-        header = bool(keys) and len(rest) < 160 and like_header(rest, keys)
+        header = len(rest) < 160 and headers.match(rest)
         out.append((header, number and header))
     return out
 
 
+def _title_like(line: str) -> bool:
+    return 12 <= len(line) <= 100 and len(line.split()) >= 3 and line[0].isupper() and line[-1] not in ".?!…;:,-­¬‐"
+
+
 def repeats_of(contents: list[str]) -> list[str]:
-    """Lines that stand at an edge of the text or of a page again and again: headers that aren't the title."""
-    seen: Counter = Counter()
+    """Lines that a document repeats between different neighbours: running headers that needn't be the title."""
+    places: dict[str, list[tuple[str, str, bool]]] = {}
     for text in contents:
-        lines = text.split("\n")
+        lines = [split_marker(line, None)[0].strip() for line in text.split("\n")]
+        off = [not x or bool(_NUMBER.fullmatch(x)) for x in lines]
+        last = len(lines) - 1
         for i, line in enumerate(lines):
+            if _title_like(line):
+                edge = i == 0 or i == last or off[i - 1] or off[i + 1]
+                near = [next((lines[j] for j in way if not off[j]), "") for way in (range(i - 1, -1, -1), range(i + 1, last + 1))]
+                places.setdefault(line, []).append((near[0], near[1], edge))
+    return [letters(k) for k, v in places.items() if len(v) > 1 and len({a for a, _, _ in v}) > 1 and len({b for _, b, _ in v}) > 1 and 2 * sum(e for _, _, e in v) > len(v)]
+
+
+def forms_of(contents: list[str]) -> list[str]:
+    """The lines that look like headers, with their names masked."""
+    found = set()
+    for text in contents:
+        for line in text.split("\n"):
             s = split_marker(line, None)[0].strip()
-            if 12 <= len(s) <= 100 and len(s.split()) >= 3 and not s.startswith("-") and s[-1] not in ".?!…;:,":
-                edge = i == 0 or i == len(lines) - 1 or any(_NUMBER.fullmatch(lines[j].strip()) or not lines[j].strip() for j in (i - 1, i + 1))
-                if edge:
-                    seen[letters(s)] += 1
-    return [k for k, n in seen.items() if n >= 2 and len(k) >= 10]
+            if _title_like(s) and len(s) <= 60 and not re.search(r"[\d.,;:€“”„«»]", s):
+                form = re.sub(r"(?<=\S )[^\W\d_a-zà-ÿ][^\W\d_]*", _NAME, s)
+                if _NAME in form and len(form.replace(_NAME, "").split()) >= 3:
+                    found.add(form)
+    return sorted(found)
 
 
 class Parsed:
     """A chunk's lines, what is furniture in them, and the words that line ends break."""
 
-    def __init__(self, content: str, pages, title, repeated, before: str | None, after: str | None):
+    def __init__(self, content: str, pages, headers: Headers, before: str | None, after: str | None):
         self.lines = content.split("\n")
-        self.marks = furniture(self.lines, pages, header_keys(title, repeated))
+        self.marks = furniture(self.lines, pages, headers)
         self.body = [i for i, l in enumerate(self.lines) if l.strip() and not any(self.marks[i])]
         self.breaks: list[tuple[int, str, str, str]] = []  # line, first part, mark, second part
         for k, i in enumerate(self.body):
@@ -254,7 +288,7 @@ def _forms(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
-            p = Parsed(r.content, list(r.pages) if r.pages is not None else None, r.title, r.repeated, r.before, r.after)
+            p = Parsed(r.content, list(r.pages) if r.pages is not None else None, Headers(r.title, r.repeated, r.forms), r.before, r.after)
             if any(h for h, _ in p.marks):
                 rows.append((r.chunk_id, "running_header", "", "", "", 1))
             if any(n for _, n in p.marks):
@@ -269,7 +303,7 @@ def _forms(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def scanned_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """chunk_id, content, pages, title, repeated, before, after: the chunks of PDF uploads, each id once.
+    """chunk_id, content, pages, title, repeated, forms, before, after: the chunks of PDF uploads, each id once.
 
     A document's chunks meet in one group, whose size the length of one document bounds.
     """
@@ -277,12 +311,17 @@ def scanned_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     own = chunks.where("content is not null and id is not null").select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "content", F.col("location_meta.pages").alias("pages")).dropDuplicates(["chunk_id"]).join(pdf, "document_id")
 
     def repeated(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"document_id": group["document_id"].iloc[:1], "repeated": [repeats_of(group["content"].drop_duplicates().tolist())]})
-
-    heads = own.select("document_id", "content").groupBy("document_id").applyInPandas(repeated, "document_id string, repeated array<string>")
+        texts = group["content"].drop_duplicates().tolist()
+        return pd.DataFrame({"document_id": group["document_id"].iloc[:1], "repeated": [repeats_of(texts)], "forms": [forms_of(texts)]})
+
+    heads = cut_lineage(own.select("document_id", "content").groupBy("document_id").applyInPandas(repeated, "document_id string, repeated array<string>, forms array<string>"))
+    # Forms of at least a share of the documents: at most (lines of a document / FORM_SHARE) of them, counted over all.
+    least = max(FORM_DOCUMENTS, FORM_SHARE * heads.count())
+    forms = sorted(r["form"] for r in heads.select(F.explode("forms").alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect())
+    heads = heads.select("document_id", "repeated", F.array(*map(F.lit, forms)).cast("array<string>").alias("forms"))
     in_order = Window.partitionBy("document_id").orderBy("chunk_index", "chunk_id")
     tail, head = F.expr("right(content, 60)"), F.expr("left(content, 200)")
-    return own.withColumn("before", F.lag(tail).over(in_order)).withColumn("after", F.lead(head).over(in_order)).join(heads, "document_id", "left").select("chunk_id", "content", "pages", "title", "repeated", "before", "after")
+    return own.withColumn("before", F.lag(tail).over(in_order)).withColumn("after", F.lead(head).over(in_order)).join(heads, "document_id", "left").select("chunk_id", "content", "pages", "title", "repeated", "forms", "before", "after")
 
 
 def _retrieve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -363,9 +402,9 @@ def _shaped(token: str, right: str) -> str:
     return right.upper() if token.isupper() and len(token) > 1 else right[0].upper() + right[1:] if token[0].isupper() else right
 
 
-def reflow(content: str, pages, title, repeated, before, after, joins: set[str], fixes: dict[str, str]) -> str:
+def reflow(content: str, pages, headers: Headers, before, after, joins: set[str], fixes: dict[str, str]) -> str:
     """Paragraphs of one line each: without furniture, with broken words joined and misread words put right."""
-    p = Parsed(content, pages, title, repeated, before, after)
+    p = Parsed(content, pages, headers, before, after)
     broken = {i: (mark, canonical(first) + "-" + second.lower()) for i, first, mark, second in p.breaks}
     body = set(p.body)
     out, paragraph, glue, blank = [], "", "", False
@@ -411,7 +450,7 @@ def cleaned(noise: DataFrame, pages: DataFrame) -> DataFrame:
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             text = [
-                reflow(r.content, None if r.pages is None else list(r.pages), r.title, r.repeated, r.before, r.after, set(r.joins if r.joins is not None else ()), {x["form"]: x["right"] for x in (r.fixes if r.fixes is not None else ())})
+                reflow(r.content, None if r.pages is None else list(r.pages), Headers(r.title, r.repeated, r.forms), r.before, r.after, set(r.joins if r.joins is not None else ()), {x["form"]: x["right"] for x in (r.fixes if r.fixes is not None else ())})
                 for r in pdf.itertuples(index=False)
             ]
             yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "content": text, "noises": [list(x) if x is not None else [] for x in pdf["noises"]]})
