@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvath.session import cut_lineage, table
 
-from . import bpe, encodings, near_duplicates, packing, page_noise, site_lines, spans, splitting
+from . import bpe, encodings, main_content, near_duplicates, packing, page_noise, site_lines, spans, splitting
 
 CHAR_FIELDS = {"ingested_documents.raw_content": ("ingested_documents", "raw_content"), "document_chunks.content": ("document_chunks", "content")}
 
@@ -24,6 +24,22 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_noise.cleaned(noise, pages)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, _ = main_content.extract(table(spark, sf_dir, "ingested_documents"), _sites(spark, sf_dir))
+    return pages.select("document_id", F.explode("noise").alias("line_no"))
+
+
+def p2_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every canonical URL; of several documents of one URL each has its row."""
+    pages, _ = main_content.extract(table(spark, sf_dir, "ingested_documents"), _sites(spark, sf_dir))
+    urls = table(spark, sf_dir, "crawl_pages").where("document_id is not null and canonical_url is not null").select("document_id", "canonical_url").distinct()
+    return pages.join(urls, "document_id", "left").select("canonical_url", "document_id", "article")
+
+
+def p2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_content.extract(table(spark, sf_dir, "ingested_documents"), _sites(spark, sf_dir))[1]
+
+
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "ingested_documents").select(F.lit("document").alias("record_kind"), F.col("id").alias("record_id"), F.col("raw_content").alias("text"))
     chunks = table(spark, sf_dir, "document_chunks").select(F.lit("chunk").alias("record_kind"), F.col("id").alias("record_id"), F.col("content").alias("text"))
@@ -116,6 +132,9 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
+    "p2_found": p2_found,
+    "p2_articles": p2_articles,
+    "p2_wrappers": p2_wrappers,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p4_found": p4_found,
