@@ -3,9 +3,528 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corvath.functions import text as tx
+from corvath.functions import urls
+from corvath.operators import catalog, chunk, crawl, evaluate, lexical, ranking, search, snippets, vector
+from corvath.session import table
+from corvath.sources import parse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+TEXT = "search index"
+WORDS = tx.query_terms(TEXT)
+AS_OF = datetime(2025, 4, 1, tzinfo=timezone.utc)
+LIMIT = 20
+FUZZY = "serach indx archve"
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the corpus as one chunk: chunk_id, title, content, source_type, created_at."""
+    return table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), F.coalesce("title", F.lit("")).alias("title"), F.col("text").alias("content"), F.coalesce("source_type", F.lit("upload")).alias("source_type"), "created_at")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+
+
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The vector of least id stands for the query's: one row, a literal of the plan."""
+    return table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()["embedding"]
+
+
+HITS = "hits as (select doc_id as chunk_id, coalesce(title, '') as title, text as content, coalesce(source_type, 'upload') as source_type, created_at from documents where text is not null)"
+WORD = r"[\p{L}\p{N}_]+"
+STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+
+
+def _count(column: str, term: str) -> str:
+    return f"((length({column}) - length(replace({column}, '{term}', ''))) // {len(term)})"
+
+
+_HIT = " or ".join(f"contains(lower(title), '{t}') or contains(lower(content), '{t}')" for t in WORDS)
+_SCORE = " + ".join(f"3 * {_count('lower(title)', t)} + {_count('lower(content)', t)}" for t in WORDS)
+LEXICAL = f"lexical as (select *, round(greatest(({_SCORE})::double, 0.5), 3) as score from hits where {_HIT})"
+
+# Documents and chunks
+
+
+@query("select source_type, count(*) as documents, count(raw_content) as with_text from ingested_documents group by source_type")
+def doc_count_by_source(spark, sf_dir):
+    return table(spark, sf_dir, "ingested_documents").groupBy("source_type").agg(F.count(F.lit(1)).alias("documents"), F.count("raw_content").alias("with_text"))
+
+
+@query("""select d.id, d.title, d.source_type, epoch_us(d.created_at) as created_us, coalesce(c.n, 0) as chunk_count
+from (select * from ingested_documents where source_type = 'web' order by created_at desc, id limit 50 offset 10) d
+left join (select document_id, count(distinct chunk_index) as n from document_chunks group by document_id) c on c.document_id = d.id""")
+def doc_list_chunk_counts(spark, sf_dir):
+    return catalog.list_documents(table(spark, sf_dir, "ingested_documents"), table(spark, sf_dir, "document_chunks"), "web", 50, 10)
+
+
+@query("""select document_id, chunk_index, content from (
+  select c.document_id, c.chunk_index, arg_min(c.content, c.id) as content from document_chunks c
+  where c.document_id = (select min(id) from ingested_documents where raw_content is not null and raw_content <> '') group by 1, 2)""")
+def doc_detail_chunks(spark, sf_dir):
+    one = table(spark, sf_dir, "ingested_documents").where("raw_content is not null and raw_content <> ''").agg(F.min("id").alias("document_id"))
+    own = table(spark, sf_dir, "document_chunks").join(F.broadcast(one), "document_id", "left_semi")
+    return catalog.distinct_chunks(own).select("document_id", "chunk_index", "c.content")
+
+
+@query("""select arg_min(id, (created_at is null, created_at, id)) as id, sha256, count(*) as copies
+from (select id, created_at, sha256(raw_content) as sha256 from ingested_documents where raw_content is not null) group by sha256""")
+def dedup_by_content_hash(spark, sf_dir):
+    return catalog.first_of_each_hash(table(spark, sf_dir, "ingested_documents"), "id", "raw_content", "created_at")
+
+
+@query("""select id from ingested_documents d where source_type = 'web' and raw_content is not null
+and not exists (select 1 from ingested_documents e where e.source_type <> 'web' and sha256(e.raw_content) = sha256(d.raw_content))""")
+def new_docs_anti_join(spark, sf_dir):
+    every = table(spark, sf_dir, "ingested_documents")
+    return catalog.new_documents(every.where("source_type = 'web' and raw_content is not null"), every.where("source_type <> 'web'"), "raw_content").select("id")
+
+
+@query("""select 'documents' as store, count(*) as rows_left from ingested_documents where source_type <> 'note'
+union all select 'chunks', count(*) from document_chunks where document_id not in (select id from ingested_documents where source_type = 'note')""")
+def delete_cascade(spark, sf_dir):
+    documents = table(spark, sf_dir, "ingested_documents")
+    kept = catalog.delete_documents(documents.where("source_type = 'note'"), documents, table(spark, sf_dir, "document_chunks"))
+    counts = [d.agg(F.count(F.lit(1)).alias("rows_left")).select(F.lit(n).alias("store"), "rows_left") for n, d in zip(("documents", "chunks"), kept)]
+    return counts[0].unionByName(counts[1])
+
+
+@query("""select c.document_id || '_' || c.chunk_index as chunk_id, d.title, d.source_type, coalesce(any_value(c.label), 'Chunk #' || (c.chunk_index + 1)) as anchor_label
+from (select document_id, chunk_index, arg_min(location_meta.anchor_label, id) as label from document_chunks group by 1, 2) c join ingested_documents d on d.id = c.document_id
+group by c.document_id, c.chunk_index, d.title, d.source_type""")
+def ssot_scan(spark, sf_dir):
+    chunks = table(spark, sf_dir, "document_chunks").groupBy("document_id", "chunk_index").agg(F.min_by("location_meta.anchor_label", F.when(F.col("location_meta.anchor_label").isNotNull(), F.col("id"))).alias("label"))
+    joined = chunks.join(table(spark, sf_dir, "ingested_documents").select(F.col("id").alias("document_id"), "title", "source_type"), "document_id")
+    return joined.select(F.concat("document_id", F.lit("_"), "chunk_index").alias("chunk_id"), "title", "source_type", F.coalesce("label", F.concat(F.lit("Chunk #"), F.col("chunk_index") + 1)).alias("anchor_label"))
+
+
+@query("select id, map_extract(doc_metadata, 'lang')[1] as lang, cardinality(doc_metadata) as entries from ingested_documents where doc_metadata is not null")
+def metadata_merge(spark, sf_dir):
+    d = table(spark, sf_dir, "ingested_documents").where("doc_metadata is not null").withColumn("parsed", F.map_filter("doc_metadata", lambda k, _: k == "lang"))
+    return d.withColumn("m", catalog.merge_metadata("doc_metadata", "parsed")).select("id", F.col("m")["lang"].alias("lang"), F.size("m").alias("entries"))
+
+
+# Parsers and chunks
+
+_EXT = "lower(regexp_extract(coalesce(file_path, ''), '(\\.[^./]+)$', 1))"
+
+
+@query(f"""select id, case when {_EXT} = '.pdf' or lower(mime_type) = 'application/pdf' then 'pdf'
+ when {_EXT} = '.docx' or lower(mime_type) = 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' then 'docx'
+ when {_EXT} in ('.md', '.markdown') then 'markdown' when {_EXT} in ('.html', '.htm') or lower(mime_type) = 'text/html' then 'html'
+ when {_EXT} in ({", ".join(repr(x) for x in parse.LANGUAGES)}) or contains(lower(coalesce(mime_type, '')), 'code') then 'code' else 'text' end as parser from ingested_documents""")
+def parser_dispatch(spark, sf_dir):
+    return table(spark, sf_dir, "ingested_documents").select("id", parse.parser_of(F.col("file_path"), F.col("mime_type")).alias("parser"))
+
+
+@query("select doc_id, sha256(text) as sha256 from documents where text is not null")
+def byte_decode(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    return d.select("doc_id", F.sha2(parse.decode(F.col("bytes")), 256).alias("sha256"))
+
+
+_LINES = r"string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
+
+
+@query(f"""select document_id, line_start, line_start as line_end, text from (
+ select document_id, unnest(range(1, len(l) + 1))::int as line_start, unnest(l) as text from (select id as document_id, {_LINES.replace('text', 'raw_content')} as l from ingested_documents where source_type = 'note' and raw_content is not null))
+ where regexp_matches(text, '[^\\s\\x0B\\x1C-\\x1F\\x85\\p{{Z}}]')""")
+def text_blocks(spark, sf_dir):
+    return parse.text_blocks(table(spark, sf_dir, "ingested_documents").where("source_type = 'note'"), "id", "raw_content")
+
+
+@query()
+def markdown_sections(spark, sf_dir):
+    return parse.markdown_blocks(table(spark, sf_dir, "documents").where("mime_type = 'text/markdown'"), "doc_id", "text")
+
+
+@query()
+def code_windows(spark, sf_dir):
+    d = table(spark, sf_dir, "ingested_documents").where("source_type = 'code'").withColumn("name", F.regexp_replace(F.coalesce("file_path", F.lit("")), "^.*/", ""))
+    return parse.code_blocks(d, "id", "raw_content", "name")
+
+
+@query()
+def html_blocks(spark, sf_dir):
+    """Blocks of pages whose HTML is made from the corpus."""
+    d = table(spark, sf_dir, "documents").where("source_type = 'web' and text is not null")
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = d.select("doc_id", F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title><script>x</script></head><body><p>"), F.regexp_replace(escaped, "\n+", "</p>\n<p>"), F.lit("</p></body></html>")).alias("html"))
+    return parse.html_blocks(page, "doc_id", "html")
+
+
+@query()
+def page_blocks(spark, sf_dir):
+    pdf = table(spark, sf_dir, "document_chunks").where("location_meta.pages is not null").select("id", "content", F.array_min("location_meta.pages").alias("page")).distinct()
+    return parse.page_blocks(pdf, "id", "page", "content")
+
+
+_PLAIN = r"""plain as (
+  select document_id, (row_number() over (partition by document_id order by i) - 1)::int as chunk_index, content from (
+    select document_id, i, regexp_replace(substring(text, (i + 1)::int, 1500), '^[\s\x0B\x1C-\x1F\x85\p{Z}]+|[\s\x0B\x1C-\x1F\x85\p{Z}]+$', '', 'g') as content
+    from (select doc_id as document_id, text, unnest(range(0, length(text), 1300)) as i from documents where length(text) > 0)) where content <> '')"""
+
+
+@query(f"with {_PLAIN} select document_id, chunk_index, sha256(content) as sha256, length(content) as n_chars from plain")
+def plain_chunks(spark, sf_dir):
+    return chunk.plain_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select("document_id", "chunk_index", F.sha2("content", 256).alias("sha256"), F.length("content").alias("n_chars"))
+
+
+@query(f"""with {_PLAIN} select document_id, chunk_index, greatest(1, length(content) // 4) as token_count, sha256(chunk_index || ':' || content) as chunk_hash, 'Chunk #' || (chunk_index + 1) as anchor_label from plain""")
+def chunk_hashes_tokens_anchors(spark, sf_dir):
+    return chunk.describe(chunk.plain_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")).drop("content")
+
+
+@query()
+def chunk_fold(spark, sf_dir):
+    blocks = parse.text_blocks(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("block_no", F.col("line_start"))
+    return chunk.describe(chunk.fold_blocks(blocks))
+
+
+@query("select greatest(1, length(content) // 4) as token_count, count(*) as chunks from document_chunks where content is not null group by 1")
+def token_count_histogram(spark, sf_dir):
+    return table(spark, sf_dir, "document_chunks").where("content is not null").groupBy(F.greatest(F.lit(1), F.floor(F.length("content") / 4)).alias("token_count")).agg(F.count(F.lit(1)).alias("chunks"))
+
+
+# Lexical retrieval
+
+
+@query(f"with {HITS}, {LEXICAL} select chunk_id, title, score from lexical order by score desc, chunk_id limit {LIMIT}")
+def lexical_term_count(spark, sf_dir):
+    return lexical.term_count_search(hits(spark, sf_dir), TEXT, LIMIT).select("chunk_id", "title", "score")
+
+
+@query(f"with {HITS}, {LEXICAL} select chunk_id, title, score from lexical where source_type = 'note' order by score desc, chunk_id limit {LIMIT} offset 5")
+def lexical_filtered(spark, sf_dir):
+    return lexical.term_count_search(hits(spark, sf_dir), TEXT, LIMIT, "note", 5).select("chunk_id", "title", "score")
+
+
+def _terms(field: str) -> str:
+    return f"""terms_{field} as (select chunk_id, list_filter(regexp_extract_all(lower({field}), '{WORD}'), lambda w: w not in ({STOP})) as terms from hits),
+postings_{field} as (select chunk_id, term, dl, count(*) as tf from (select chunk_id, len(terms)::int as dl, unnest(terms) as term from terms_{field}) group by all),
+lengths_{field} as (select count(*) as n, avg(dl) as avgdl from (select len(terms) as dl from terms_{field}) where dl > 0)"""
+
+
+def _bm25(field: str, terms: list[str]) -> str:
+    names = ", ".join(f"'{t}'" for t in terms)
+    return f"""bm25_{field} as (select p.chunk_id, sum(ln(1.0::double + (s.n - d.df + 0.5::double) / (d.df + 0.5::double)) * (p.tf / (p.tf + 1.2::double * (0.25::double + 0.75::double * p.dl / s.avgdl)))) as score
+from postings_{field} p join (select term, count(*) as df from postings_{field} group by term) d on d.term = p.term, lengths_{field} s where p.term in ({names}) group by p.chunk_id)"""
+
+
+@query(f"with {HITS}, {_terms('content')} select term, count(*) as df, sum(tf)::bigint as cf from postings_content group by term")
+def postings_df(spark, sf_dir):
+    return lexical.postings(hits(spark, sf_dir), "content").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"with {HITS}, {_terms('content')}, {_terms('title')} select 'content' as field, n, round(avgdl, 6) as avgdl from lengths_content union all select 'title', n, round(avgdl, 6) from lengths_title")
+def corpus_stats(spark, sf_dir):
+    parts = [lexical.lengths(hits(spark, sf_dir), f).select(F.lit(f).alias("field"), "n", F.round("avgdl", 6).alias("avgdl")) for f in ("content", "title")]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"with {HITS}, {_terms('content')}, {_bm25('content', WORDS)} select chunk_id, round(score, 6) as score from bm25_content order by round(score, 6) desc, chunk_id limit {LIMIT}")
+def bm25_topk(spark, sf_dir):
+    h = hits(spark, sf_dir)
+    queries = spark.createDataFrame([(0, t) for t in WORDS], "query_id int, term string")
+    found = lexical.bm25(lexical.postings(h, "content"), lexical.lengths(h, "content"), queries)
+    return found.select("chunk_id", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "chunk_id").limit(LIMIT)
+
+
+@query(f"""with {HITS}, {_terms('content')}, {_bm25('content', WORDS)}, {_terms('title')}, {_bm25('title', WORDS)}
+select chunk_id, round(max(s), 4) as score from (select chunk_id, score as s from bm25_content union all select chunk_id, 3.0::double * score from bm25_title) group by chunk_id order by 2 desc, 1 limit {LIMIT}""")
+def bm25_multifield(spark, sf_dir):
+    return lexical.bm25_multifield(hits(spark, sf_dir), TEXT, {"title": 3.0, "content": 1.0}).orderBy(F.col("score").desc(), "chunk_id").limit(LIMIT)
+
+
+def _fuzzy(t: str) -> str:
+    k = lexical.allowed_edits(t)
+    near = f"levenshtein(term, '{t}') <= {k}" + (f" or term in ({', '.join(repr(x) for x in lexical.swaps(t))})" if k else "")
+    return f"select '{t}' as query_term, term from vocabulary where {near}"
+
+
+@query(f"with {HITS}, {_terms('content')}, vocabulary as (select distinct term from postings_content) " + " union all ".join(_fuzzy(t) for t in tx.query_terms(FUZZY)))
+def fuzzy_term_expansion(spark, sf_dir):
+    return lexical.fuzzy_terms(lexical.postings(hits(spark, sf_dir), "content").select("term").distinct(), FUZZY)
+
+
+# Vector retrieval
+
+_COSINE = "list_inner_product({a}::double[], {b}::double[]) / (sqrt(list_inner_product({a}::double[], {a}::double[])) * sqrt(list_inner_product({b}::double[], {b}::double[])))"
+_BATCH = f"""with scored as (select q.vec_id as query_id, e.vec_id, round({_COSINE.format(a='q.embedding', b='e.embedding')}, 10) as s from embeddings q, embeddings e where q.vec_id % 20 = 0{{}}),
+placed as (select *, (row_number() over (partition by query_id order by s desc, vec_id))::int as rank from scored)
+select query_id, vec_id, round(s, 4) as score, rank from placed where rank <= 10"""
+
+
+@query(_BATCH.format(""))
+def vector_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return vector.batch_search(v, v.where("vec_id % 20 = 0"), 10)
+
+
+@query(_BATCH.format(" and e.label = 3"))
+def vector_topk_filtered(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return vector.batch_search(v.where("label = 3"), v.where("vec_id % 20 = 0"), 10)
+
+
+@query("select vec_id, round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) as norm from embeddings")
+def vector_l2_norms(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query()
+def hash_embed(spark, sf_dir):
+    return vector.hash_embed(table(spark, sf_dir, "ingested_documents").where("title is not null").select("id", "title"), "id", "title")
+
+
+@query()
+def vector_point_ids(spark, sf_dir):
+    return table(spark, sf_dir, "document_chunks").select(F.concat("document_id", F.lit("_"), "chunk_index").alias("chunk_id")).distinct().withColumn("point_id", vector.point_id(F.col("chunk_id")))
+
+
+# Fusion and search
+
+POOL = search.candidate_limit(LIMIT)
+_VECTOR = "(select embedding from embeddings order by vec_id limit 1)"
+CANDIDATES = f"""{HITS}, {LEXICAL},
+lex as (select chunk_id, score, row_number() over (order by score desc, chunk_id) as r from (select * from lexical order by score desc, chunk_id limit {POOL})),
+near as (select e.vec_id as chunk_id, round({_COSINE.format(a='e.embedding', b=_VECTOR)}, 4) as score from embeddings e where e.vec_id in (select chunk_id from hits)),
+sem as (select chunk_id, score, row_number() over (order by score desc, chunk_id) as r from (select * from near order by score desc, chunk_id limit {POOL})),
+fused as (select coalesce(l.chunk_id, s.chunk_id) as chunk_id, l.r::int as lexical_rank, s.r::int as semantic_rank, l.score as lexical_score, s.score as semantic_score,
+  coalesce(1.0::double / (60 + l.r), 0) + coalesce(1.0::double / (60 + s.r), 0) as rrf_score from lex l full join sem s on l.chunk_id = s.chunk_id)"""
+
+
+@query(f"with {CANDIDATES} select chunk_id, lexical_rank, semantic_rank, round(rrf_score, 6) as rrf_score from fused")
+def rrf_fusion(spark, sf_dir):
+    h = hits(spark, sf_dir)
+    lex = search.ranked(lexical.term_count_search(h, TEXT, POOL).select("chunk_id", "score"), "lexical_rank", F.col("score").desc(), "chunk_id")
+    near = vector.cosine_search(vectors(spark, sf_dir).join(h.select("chunk_id"), "chunk_id", "left_semi"), query_vector(spark, sf_dir), POOL, "chunk_id")
+    sem = search.ranked(near.select("chunk_id", "score"), "semantic_rank", F.col("score").desc(), "chunk_id")
+    return search.rrf(lex, sem).select("chunk_id", "lexical_rank", "semantic_rank", F.round("rrf_score", 6).alias("rrf_score"))
+
+
+_MATCHED = " + ".join(f"(case when contains(lower(title), '{t}') then 1 else 0 end)" for t in WORDS)
+_AUTHORITY = "(case source_type " + " ".join(f"when '{k}' then {v}::double" for k, v in ranking.AUTHORITY.items()) + " else 1.0::double end)"
+_ROW = r"(^|[^\p{L}\p{N}_])" + r"[\s\x0B\x1C-\x1F\x85\p{Z}]+".join(WORDS) + r"([^\p{L}\p{N}_]|$)"
+SIGNALS = f"""signals as (select *, greatest(0.1::double, round(case when score is null or score = 0 then 1.0::double else score end, 4)) as base,
+ round(least(1.6::double, 1.0::double + case when contains(lower(title), '{TEXT}') then 0.5::double when ({_MATCHED}) = {len(WORDS)} then 0.3::double when ({_MATCHED}) > 0 then round(0.2::double * ({_MATCHED}) / {float(len(WORDS))}::double, 2) else 0.0::double end), 3) as title_boost,
+ round({_AUTHORITY}, 3) as authority_boost,
+ case when created_at is null then 0.9::double else round(greatest(0.5::double, least(1.0::double, 0.5::double + 0.5::double * exp(-ln(2.0::double) / 90 * greatest(0.0::double, ({int(AS_OF.timestamp() * 1_000_000)} - epoch_us(created_at)) / 86400000000.0::double)))), 3) end as freshness_boost,
+ case when regexp_matches(lower(content), '{_ROW}') then 1.25::double
+  when (select bool_or({' and '.join(f"list_contains(w[i:i + 14], '{t}')" for t in WORDS)}) from unnest(range(1, greatest(1, len(w) - 14) + 1)) as t(i)) then 1.1::double else 1.0::double end as phrase_boost
+ from (select *, regexp_extract_all(lower(content), '{WORD}') as w from candidates)),
+final as (select *, round(base * title_boost * authority_boost * freshness_boost * phrase_boost, 4) as final_score from signals)"""
+_PAGE = f"""page as (select *, (row_number() over (order by final_score desc, chunk_id))::int as position from final)
+select position, chunk_id, lexical_rank, semantic_rank, final_score from page where position <= {LIMIT}"""
+_SHOWN = ["position", "chunk_id", "lexical_rank", "semantic_rank", "final_score"]
+
+
+def _search(spark, sf_dir, mode, engine="term_count", **more):
+    return search.search(hits(spark, sf_dir), vectors(spark, sf_dir).drop("label"), TEXT, query_vector(spark, sf_dir), AS_OF, mode, LIMIT, engine=engine, **more).select(*_SHOWN)
+
+
+@query(f"with {CANDIDATES}, candidates as (select h.*, f.lexical_rank, f.semantic_rank, f.rrf_score * 100 as score from fused f join hits h on h.chunk_id = f.chunk_id), {SIGNALS}, {_PAGE}")
+def search_hybrid(spark, sf_dir):
+    return _search(spark, sf_dir, "hybrid")
+
+
+@query(f"with {CANDIDATES}, candidates as (select h.*, l.r::int as lexical_rank, null::int as semantic_rank, l.score from lex l join hits h on h.chunk_id = l.chunk_id), {SIGNALS}, {_PAGE}")
+def search_lexical(spark, sf_dir):
+    return _search(spark, sf_dir, "lexical")
+
+
+@query(f"with {CANDIDATES}, candidates as (select h.*, null::int as lexical_rank, s.r::int as semantic_rank, s.score from sem s join hits h on h.chunk_id = s.chunk_id), {SIGNALS}, {_PAGE}")
+def search_semantic(spark, sf_dir):
+    return _search(spark, sf_dir, "semantic")
+
+
+@query()
+def search_hybrid_bm25(spark, sf_dir):
+    return _search(spark, sf_dir, "hybrid", "bm25", source_type="web")
+
+
+# Ranking signals over the whole corpus
+
+_ALL = f"with {HITS}, candidates as (select *, 1.0::double as score from hits), {SIGNALS}"
+
+
+def _reranked(spark, sf_dir):
+    return ranking.rerank(hits(spark, sf_dir).withColumn("score", F.lit(1.0)), TEXT, AS_OF)
+
+
+@query(f"{_ALL} select title_boost, count(*) as documents from signals group by title_boost")
+def title_boost(spark, sf_dir):
+    return hits(spark, sf_dir).groupBy(ranking.title_boost(F.col("title"), F.lit(None).cast("string"), TEXT).alias("title_boost")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query(f"""with {HITS}, hosts as (select d.source_type, coalesce(regexp_extract(lower(map_extract(d.doc_metadata, 'url')[1]), '^[a-z]+://([^/]+)', 1), '') as host from ingested_documents d)
+select authority_boost, count(*) as documents from (select round({_AUTHORITY} + case when source_type = 'web' and ({' or '.join(f"contains(host, '{c}')" for c in ranking.CURATED)}) then 0.1::double else 0.0::double end, 3) as authority_boost from hosts) group by 1""")
+def authority_boost(spark, sf_dir):
+    d = table(spark, sf_dir, "ingested_documents")
+    return d.groupBy(ranking.authority_boost(F.col("source_type"), urls.url_domain(F.col("doc_metadata")["url"])).alias("authority_boost")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query(f"{_ALL} select chunk_id, freshness_boost from signals")
+def freshness_boost(spark, sf_dir):
+    return hits(spark, sf_dir).select("chunk_id", ranking.freshness_boost(F.col("created_at"), AS_OF).alias("freshness_boost"))
+
+
+@query(f"{_ALL} select phrase_boost, count(*) as documents from signals group by phrase_boost")
+def phrase_boost(spark, sf_dir):
+    return hits(spark, sf_dir).groupBy(ranking.phrase_boost(F.col("content"), TEXT).alias("phrase_boost")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query(f"{_ALL}, kept as (select * from final) select chunk_id, base, title_boost, authority_boost, phrase_boost, final_score from kept")
+def score_breakdown(spark, sf_dir):
+    return _reranked(spark, sf_dir).select("chunk_id", "base", "title_boost", "authority_boost", "phrase_boost", "final_score")
+
+
+@query()
+def score_explanations(spark, sf_dir):
+    return _reranked(spark, sf_dir).select("chunk_id", "explanation")
+
+
+# Snippets
+
+_PLACE = "list_min(list_filter([" + ", ".join(f"instr(lower(content), '{t}')" for t in WORDS) + "], lambda p: p > 0))"
+_EITHER = "|".join(sorted(WORDS, key=lambda t: (-len(t), t)))
+
+
+@query(f"""with {HITS}, placed as (select chunk_id, content, {_PLACE} as p from hits), cut as (select *, greatest(0, p - 81) as a, least(length(content), greatest(0, p - 81) + 240) as b from placed)
+select chunk_id, case when p is null then case when length(content) > 240 then substring(content, 1, 240) || '...' else content end
+ else regexp_replace((case when a > 0 then '...' else '' end) || substring(content, (a + 1)::int, (b - a)::int) || (case when b < length(content) then '...' else '' end), '({_EITHER})', '<mark>\\1</mark>', 'gi') end as snippet from cut""")
+def snippets_around_terms(spark, sf_dir):
+    return hits(spark, sf_dir).select("chunk_id", snippets.snippet(F.col("content"), WORDS).alias("snippet"))
+
+
+@query(f"with {HITS} select chunk_id, case when length(content) > 240 then substring(content, 1, 240) || '...' else content end as snippet from hits")
+def snippet_default(spark, sf_dir):
+    return hits(spark, sf_dir).select("chunk_id", snippets.default_snippet(F.col("content")).alias("snippet"))
+
+
+@query()
+def snippet_fragments(spark, sf_dir):
+    return hits(spark, sf_dir).select("chunk_id", snippets.fragments(F.col("content"), F.col("title"), WORDS).alias("snippet"))
+
+
+# Evaluation: the titles of the documents whose id is divisible by 20 are the queries, documents of the same title the
+# relevant ones; lexical by BM25 over titles, and by the order of time for comparison.
+
+_EVAL = f"""{HITS}, {_terms('title')},
+asked as (select chunk_id as query_id, unnest(list_distinct(terms)) as term from terms_title where chunk_id % 20 = 0),
+scored as (select a.query_id, p.chunk_id as item, round(sum(ln(1.0::double + (s.n - d.df + 0.5::double) / (d.df + 0.5::double)) * (p.tf / (p.tf + 1.2::double * (0.25::double + 0.75::double * p.dl / s.avgdl)))), 6) as score
+  from asked a join postings_title p on p.term = a.term join (select term, count(*) as df from postings_title group by term) d on d.term = p.term, lengths_title s group by 1, 2),
+retrieved as (select query_id, item, rank from (select *, row_number() over (partition by query_id order by score desc, item) as rank from scored) where rank <= 10),
+grades as (select q.chunk_id as query_id, h.chunk_id as item, 3.0::double as grade from hits q join hits h on lower(h.title) = lower(q.title) where q.chunk_id % 20 = 0 and q.title <> ''),
+of_hits as (select r.query_id, {', '.join(f'sum((r.rank <= {k} and g.grade > 0)::int) / {k}.0::double as p{k}' for k in (1, 3, 5))}, sum((r.rank <= 5 and g.grade > 0)::int) as found, min(case when g.grade > 0 then r.rank end) as first,
+  sum(case when r.rank <= 5 then (pow(2, coalesce(g.grade, 0)) - 1) / log2(r.rank + 1.0::double) end) as dcg, count(*) as items from retrieved r left join grades g on g.query_id = r.query_id and g.item = r.item group by 1),
+ideal as (select query_id, count(*) as relevant, sum(case when rank <= 5 then (pow(2, grade) - 1) / log2(rank + 1.0::double) end) as idcg from (select *, row_number() over (partition by query_id order by grade desc, item) as rank from grades) group by 1),
+per_query as (select coalesce(o.query_id, i.query_id) as query_id, {', '.join(f'round(coalesce(p{k}, 0), 4) as p_at_{k}' for k in (1, 3, 5))}, round(case when relevant > 0 then coalesce(found, 0) / relevant else 0.0::double end, 4) as r_at_5,
+  round(coalesce(1.0::double / first, 0), 4) as mrr, round(case when coalesce(idcg, 0) > 1e-9 then coalesce(dcg, 0) / idcg when coalesce(items, 0) > 0 then 1.0::double else 0.0::double end, 4) as ndcg_at_5 from of_hits o full join ideal i on i.query_id = o.query_id)"""
+
+
+def _evaluated(spark, sf_dir):
+    h = hits(spark, sf_dir)
+    indexed = lexical.postings(h, "title")
+    asked = indexed.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "term")
+    scored = lexical.bm25(indexed, lexical.lengths(h, "title"), asked).withColumn("score", F.round("score", 6))
+    placed = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))).where("rank <= 10")
+    by_title = h.where("title <> ''").select("chunk_id", F.lower("title").alias("key"))
+    grades = by_title.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "key").join(by_title, "key").select("query_id", F.col("chunk_id").alias("item"), F.lit(3.0).alias("grade"))
+    return evaluate.metrics(placed.select("query_id", F.col("chunk_id").alias("item"), "rank"), grades)
+
+
+@query(f"with {_EVAL} select * from per_query")
+def retrieval_metrics(spark, sf_dir):
+    return _evaluated(spark, sf_dir)
+
+
+@query(f"with {_EVAL} select 'lexical' as mode, count(*) as queries, {', '.join(f'round(avg({c}), 4) as {c}' for c in ('p_at_1', 'p_at_3', 'p_at_5', 'r_at_5', 'mrr', 'ndcg_at_5'))} from per_query")
+def benchmark_report(spark, sf_dir):
+    return evaluate.means(_evaluated(spark, sf_dir).withColumn("mode", F.lit("lexical")), "mode")
+
+
+# Crawling and URLs
+
+
+@query("select distinct url, regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) as host from crawl_pages where url is not null")
+def url_domain(spark, sf_dir):
+    return table(spark, sf_dir, "crawl_pages").where("url is not null").select("url").distinct().withColumn("host", urls.url_domain(F.col("url")))
+
+
+@query()
+def url_canonical(spark, sf_dir):
+    return table(spark, sf_dir, "crawl_pages").where("url is not null").select("url").distinct().withColumn("canonical", urls.canonical_url(F.col("url")))
+
+
+@query("""with patterns as (select distinct lower(trim(domain)) as p from crawl_domains where enabled and domain is not null), seen as (select distinct url, regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) as h from crawl_pages where url is not null)
+select url from seen where exists (select 1 from patterns where h = p or ends_with(h, '.' || p) or h = 'www.' || p or p = 'www.' || h)""")
+def url_allowed(spark, sf_dir):
+    return crawl.allowed(table(spark, sf_dir, "crawl_pages").where("url is not null").select("url").distinct(), table(spark, sf_dir, "crawl_domains"))
+
+
+@query()
+def robots_verdicts(spark, sf_dir):
+    """Every URL against robots rules that are derived from the allowlist: drafts are closed, and what isn't enabled."""
+    d = table(spark, sf_dir, "crawl_domains")
+    body = F.concat(F.lit("User-agent: *\nDisallow: /draft\nCrawl-delay: "), F.coalesce(F.ceil("rate_limit_delay"), F.lit(1)).cast("string"), F.when(F.col("enabled"), "").otherwise("\nDisallow: /"))
+    robots = d.select(urls.normalize_domain(F.col("domain")).alias("domain"), F.lit(200).alias("status"), body.alias("body"))
+    return crawl.robots_allowed(table(spark, sf_dir, "crawl_pages").where("url is not null").select("url").distinct(), robots, "corvathbot")
+
+
+def _links(spark, sf_dir):
+    """Links as the visits suggest them: within a job, from each page to those of the next depth."""
+    p = table(spark, sf_dir, "crawl_pages").where("canonical_url is not null and depth is not null")
+    seen = p.groupBy("job_id", "canonical_url").agg(F.min("depth").alias("depth"))
+    first = seen.groupBy("job_id", "depth").agg(F.min("canonical_url").alias("source"))
+    return first.join(seen.select("job_id", (F.col("depth") - 1).alias("depth"), F.col("canonical_url").alias("target")), ["job_id", "depth"]).select("source", F.lit(0).alias("link_no"), "target").distinct()
+
+
+@query()
+def frontier_levels(spark, sf_dir):
+    links = _links(spark, sf_dir)
+    seeds = links.join(links.select(F.col("target").alias("source")), "source", "left_anti").select(F.col("source").alias("url")).distinct()
+    return crawl.frontier(links, seeds, 3)
+
+
+@query("select job_id, sum((status_code = 200)::int)::bigint as pages_crawled, sum((status_code is null or status_code <> 200)::int)::bigint as pages_failed from (select distinct id, job_id, status_code from crawl_pages) group by job_id")
+def crawl_job_counters(spark, sf_dir):
+    return catalog.job_counters(table(spark, sf_dir, "crawl_pages"))
+
+
+@query("select id, regexp_replace(lower(trim(domain)), ':.*$', '') as domain, status, epoch_us(created_at) as created_us from crawl_jobs order by created_us desc, id limit 100")
+def crawl_jobs_recent(spark, sf_dir):
+    return catalog.recent_jobs(table(spark, sf_dir, "crawl_jobs"))
+
+
+@query("""select lower(trim(j.domain)) as domain, count(distinct j.id) as jobs, count(distinct p.id) as visits, count(distinct p.canonical_url) as urls, count(distinct p.document_id) as documents
+from crawl_jobs j left join crawl_pages p on p.job_id = j.id group by 1""")
+def crawl_domain_totals(spark, sf_dir):
+    jobs = table(spark, sf_dir, "crawl_jobs").select(F.col("id").alias("job_id"), F.lower(F.trim("domain")).alias("domain"))
+    pages = table(spark, sf_dir, "crawl_pages").select(F.col("id").alias("page_id"), "job_id", "canonical_url", "document_id").distinct()
+    return jobs.join(pages, "job_id", "left").groupBy("domain").agg(F.countDistinct("job_id").alias("jobs"), F.countDistinct("page_id").alias("visits"), F.countDistinct("canonical_url").alias("urls"), F.countDistinct("document_id").alias("documents"))
+
+
+@query("""select distinct p.id, p.job_id from crawl_pages p join crawl_jobs j on j.id = p.job_id where p.depth > j.max_depth or p.crawled_at > j.completed_at""")
+def crawl_visits_out_of_bounds(spark, sf_dir):
+    jobs = table(spark, sf_dir, "crawl_jobs").select(F.col("id").alias("job_id"), F.col("max_depth"), "completed_at")
+    return table(spark, sf_dir, "crawl_pages").join(jobs, "job_id").where("depth > max_depth or crawled_at > completed_at").select("id", "job_id").distinct()
