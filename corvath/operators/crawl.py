@@ -73,16 +73,23 @@ def frontier(links: DataFrame, seeds: DataFrame, max_depth: int, max_seen: int |
     given, a level's URLs are taken in the order of their parents and links until it is reached.
     """
     edges = links.select(canonical_url(F.col("source")).alias("source"), "link_no", canonical_url(F.col("target")).alias("target"))
-    first = seeds.select(canonical_url(F.col("url")).alias("url"), F.lit(0).alias("at")).distinct()
-    level = seen = cut_lineage(first.withColumn("depth", F.lit(0)).withColumn("at", F.row_number().over(Window.orderBy("url")).cast("long")))
+
+    def numbered(rows: DataFrame, *order: str) -> DataFrame:
+        """The order matters only under a limit, which bounds what is numbered."""
+        if max_seen is None:
+            return rows.withColumn("at", F.lit(0))
+        left = max_seen - (seen.count() if seen is not None else 0)
+        return rows.orderBy(*order).limit(max(0, left)).withColumn("at", F.row_number().over(Window.orderBy(*order)))
+
+    seen = None
+    first = seeds.select(canonical_url(F.col("url")).alias("url")).where("url is not null").distinct()
+    level = seen = cut_lineage(numbered(first, "url").select("url", "at", F.lit(0).alias("depth")))
     for depth in range(1, max_depth + 1):
         if max_seen is not None and seen.count() >= max_seen:
             break
         found = level.join(edges, level["url"] == edges["source"]).groupBy("target").agg(F.min(F.struct("at", "link_no")).alias("o")).withColumnRenamed("target", "url").join(seen.select("url"), "url", "left_anti")
-        placed = found.select("url", F.lit(depth).alias("depth"), (F.col("o.at") * 1_000_000 + F.col("o.link_no")).alias("at"))
-        if max_seen is not None:
-            placed = placed.orderBy("at", "url").limit(max(0, max_seen - seen.count()))
-        level = cut_lineage(placed.select("url", "at", "depth"))
+        placed = numbered(found.select("url", F.col("o.at").alias("parent"), F.col("o.link_no").alias("link_no")), "parent", "link_no", "url")
+        level = cut_lineage(placed.select("url", "at", F.lit(depth).alias("depth")))
         if level.isEmpty():
             break
         seen = cut_lineage(seen.select("url", "at", "depth").unionByName(level))

@@ -79,7 +79,8 @@ def rerank(hits: DataFrame, query: str, as_of: datetime) -> DataFrame:
             "authority_boost": authority_boost(F.col("source_type"), optional("host")), "freshness_boost": freshness_boost(F.col("created_at"), as_of), "phrase_boost": phrase_boost(F.col("content"), query),
         }
     )
-    final = F.round(F.col("base") * F.col("title_boost") * F.col("authority_boost") * F.col("freshness_boost") * F.col("phrase_boost"), 4)
+    # exact halves go up, whichever way the last bit of the product falls
+    final = F.round(F.col("base") * F.col("title_boost") * F.col("authority_boost") * F.col("freshness_boost") * F.col("phrase_boost") + F.lit(1e-9), 4)
     return scored.withColumn("final_score", final).withColumn("explanation", explanation(have))
 
 

@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-TEXT = "search index"
+TEXT = "note says"
 WORDS = tx.query_terms(TEXT)
 AS_OF = datetime(2025, 4, 1, tzinfo=timezone.utc)
 LIMIT = 20
@@ -152,12 +152,22 @@ def text_blocks(spark, sf_dir):
     return parse.text_blocks(table(spark, sf_dir, "ingested_documents").where("source_type = 'note'"), "id", "raw_content")
 
 
-@query()
+_STRIP = r"'^[\s\x0B\x1C-\x1F\x85\p{Z}]+|[\s\x0B\x1C-\x1F\x85\p{Z}]+$', '', 'g'"
+
+
+@query(rf"""with l as (select doc_id as document_id, unnest(range(0, len(x)))::int as ln, unnest(x) as line from (select doc_id, {_LINES} as x from documents where mime_type = 'text/markdown' and text is not null)),
+h as (select *, nullif(regexp_replace(regexp_extract(line, '^(#{{1,6}})\s+(.+)$', 2), {_STRIP}), '') as heading from l),
+p as (select *, count(heading) over w as island, coalesce(last_value(heading ignore nulls) over w, 'General') as section from h window w as (partition by document_id order by ln rows unbounded preceding))
+select document_id, section, line_start, line_end, text from (select document_id, section, min(ln) + 1 as line_start, max(ln) + 1 as line_end, regexp_replace(string_agg(line, chr(10) order by ln), {_STRIP}) as text from p where heading is null group by document_id, island, section) where text <> ''""")
 def markdown_sections(spark, sf_dir):
     return parse.markdown_blocks(table(spark, sf_dir, "documents").where("mime_type = 'text/markdown'"), "doc_id", "text")
 
 
-@query()
+@query(rf"""with l as (select id as document_id, regexp_replace(coalesce(file_path, ''), '^.*/', '') as name, {_LINES.replace('text', 'raw_content')} as x from ingested_documents where source_type = 'code' and raw_content is not null),
+k as (select document_id, name, case when x[-1] = '' then x[:-2] else x end as x from l),
+w as (select document_id, name, x, unnest(range(0, len(x), 30))::int as a from k where len(x) > 0)
+select document_id, name || ':' || (a + 1) || '-' || least(a + 40, len(x)) as section, a + 1 as line_start, least(a + 40, len(x))::int as line_end, array_to_string(x[a + 1:a + 40], chr(10)) as text from w
+where regexp_matches(array_to_string(x[a + 1:a + 40], chr(10)), '[^\s\x0B\x1C-\x1F\x85\p{{Z}}]')""")
 def code_windows(spark, sf_dir):
     d = table(spark, sf_dir, "ingested_documents").where("source_type = 'code'").withColumn("name", F.regexp_replace(F.coalesce("file_path", F.lit("")), "^.*/", ""))
     return parse.code_blocks(d, "id", "raw_content", "name")
@@ -172,7 +182,9 @@ def html_blocks(spark, sf_dir):
     return parse.html_blocks(page, "doc_id", "html")
 
 
-@query()
+@query(rf"""with c as (select distinct id, content, list_min(location_meta.pages) as page from document_chunks where location_meta.pages is not null and content is not null),
+b as (select id as document_id, page as page_number, unnest(range(0, len(x)))::int as block_no, unnest(x) as raw from (select id, page, string_split(content, chr(10) || chr(10)) as x from c))
+select document_id, page_number, block_no, text from (select document_id, page_number, block_no, regexp_replace(raw, {_STRIP}) as text from b) where text <> ''""")
 def page_blocks(spark, sf_dir):
     pdf = table(spark, sf_dir, "document_chunks").where("location_meta.pages is not null").select("id", "content", F.array_min("location_meta.pages").alias("page")).distinct()
     return parse.page_blocks(pdf, "id", "page", "content")
@@ -332,7 +344,7 @@ SIGNALS = f"""signals as (select *, greatest(0.1::double, round(case when score
  case when regexp_matches(lower(content), '{_ROW}') then 1.25::double
   when (select bool_or({' and '.join(f"list_contains(w[i:i + 14], '{t}')" for t in WORDS)}) from unnest(range(1, greatest(1, len(w) - 14) + 1)) as t(i)) then 1.1::double else 1.0::double end as phrase_boost
  from (select *, regexp_extract_all(lower(content), '{WORD}') as w from candidates)),
-final as (select *, round(base * title_boost * authority_boost * freshness_boost * phrase_boost, 4) as final_score from signals)"""
+final as (select *, round(base * title_boost * authority_boost * freshness_boost * phrase_boost + 1e-9::double, 4) as final_score from signals)"""
 _PAGE = f"""page as (select *, (row_number() over (order by final_score desc, chunk_id))::int as position from final)
 select position, chunk_id, lexical_rank, semantic_rank, final_score from page where position <= {LIMIT}"""
 _SHOWN = ["position", "chunk_id", "lexical_rank", "semantic_rank", "final_score"]
