@@ -30,9 +30,11 @@ def term_count_search(hits: DataFrame, query: str, limit: int, source_type: str
     return own.where(hit).withColumn("score", score).orderBy(F.col("score").desc(), "chunk_id").offset(offset).limit(limit)
 
 
-def postings(hits: DataFrame, field: str) -> DataFrame:
-    """chunk_id, term, tf, dl of one field; stop words aren't indexed."""
+def postings(hits: DataFrame, field: str, only: list[str] | None = None) -> DataFrame:
+    """chunk_id, term, tf, dl of one field; stop words aren't indexed. Where `only` is given, the postings of these terms."""
     terms = hits.select("chunk_id", index_terms(F.col(field)).alias("terms")).withColumn("dl", F.size("terms"))
+    if only is not None:  # the others needn't be counted, nor moved
+        terms = terms.withColumn("terms", F.filter("terms", lambda t: t.isin(only)))
     return terms.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -64,7 +66,7 @@ def bm25_multifield(hits: DataFrame, query: str, boosts: dict[str, float]) -> Da
     queries = hits.sparkSession.createDataFrame([(0, t) for t in terms], "query_id int, term string")
     found = None
     for field, boost in boosts.items():
-        own = bm25(postings(hits, field), lengths(hits, field), queries).select("chunk_id", (F.col("score") * F.lit(float(boost))).alias("s"))
+        own = bm25(postings(hits, field, terms), lengths(hits, field), queries).select("chunk_id", (F.col("score") * F.lit(float(boost))).alias("s"))
         found = own if found is None else found.unionByName(own)
     return found.groupBy("chunk_id").agg(F.round(F.max("s"), 4).alias("score"))
 

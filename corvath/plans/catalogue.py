@@ -257,7 +257,7 @@ def corpus_stats(spark, sf_dir):
 def bm25_topk(spark, sf_dir):
     h = hits(spark, sf_dir)
     queries = spark.createDataFrame([(0, t) for t in WORDS], "query_id int, term string")
-    found = lexical.bm25(lexical.postings(h, "content"), lexical.lengths(h, "content"), queries)
+    found = lexical.bm25(lexical.postings(h, "content", WORDS), lexical.lengths(h, "content"), queries)
     return found.select("chunk_id", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "chunk_id").limit(LIMIT)
 
 

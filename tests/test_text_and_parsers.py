@@ -60,7 +60,7 @@ def test_html(spark):
     assert ("p", "One two") in parse.parse_html(HTML, implied_end_tags=True)[1]
     assert parse.parse_html("<h1>Only</h1>", "stem")[0] == "Only" and parse.parse_html("", "stem")[0] == "stem"
     df = spark.createDataFrame([("a", "http://x.org/d/", HTML), ("b", "http://x.org/", None)], "id string, url string, html string")
-    assert [r.link for r in parse.html_links(df, "id", "url", "html").orderBy("link_no").collect()] == ["http://x.org/a?b=1#c", "https://Other.org/p"]
+    assert [r.link for r in parse.html_links(df, "id", "url", "html").orderBy("link_no").collect()] == ["http://x.org/a?b=1#c", "HTTPS://Other.org/p"]
     assert parse.html_blocks(df, "id", "html").where("document_id = 'b'").count() == 0
 
 
