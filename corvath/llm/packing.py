@@ -21,6 +21,7 @@ from corvath.session import cut_lineage
 GROUP_ITEMS = 20_000
 GROWTH = 4
 ROUNDS = 3
+MAX_LIMITS = 100
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -99,14 +100,17 @@ def _round(items: DataFrame, number: int, group_items: int) -> DataFrame:
 def pack(sizes: DataFrame, limits: DataFrame, group_items: int = GROUP_ITEMS, rounds: int = ROUNDS) -> DataFrame:
     """limit_name, container_id, doc_id, piece_no, token_start, n_tokens, container_fill.
 
-    sizes: doc_id, n_tokens; limits: limit_name, max_size (a configuration table: one row per limit, broadcast).
+    sizes: doc_id, n_tokens; limits: limit_name, max_size (a configuration table: one row per limit, refused beyond MAX_LIMITS).
     Items of size 0 or null aren't placed. An item larger than the capacity is cut into full containers and a rest, and
     only such items are cut. Repeated rows of one doc_id and size count once. An empty table gives an empty result.
     """
-    limits = limits.where("max_size > 0").select("limit_name", F.col("max_size").cast("int").alias("capacity")).distinct()
+    rows = limits.where("max_size > 0").select("limit_name", F.col("max_size").cast("int").alias("capacity")).distinct().limit(MAX_LIMITS + 1).collect()
+    if not 0 < len(rows) <= MAX_LIMITS:
+        raise ValueError(f"there must be 1 to {MAX_LIMITS} limits")
+    each_limit = F.array(*[F.struct(F.lit(r.limit_name).alias("limit_name"), F.lit(r.capacity).alias("capacity")) for r in sorted(rows)])
     items = (
         sizes.where("n_tokens > 0").select("doc_id", F.col("n_tokens").cast("bigint").alias("whole")).distinct()
-        .crossJoin(F.broadcast(limits))  # a handful of limits: each item is placed once per limit
+        .select("doc_id", "whole", F.explode(each_limit).alias("l")).select("l.limit_name", "l.capacity", "doc_id", "whole")
         .select("limit_name", "capacity", "doc_id", "whole", F.explode(F.sequence(F.lit(0), F.ceil(F.col("whole") / F.col("capacity")).cast("int") - 1)).alias("piece_no"))
         .select("limit_name", "capacity", "doc_id", "piece_no",
                 (F.col("piece_no").cast("bigint") * F.col("capacity")).alias("token_start"),

@@ -352,11 +352,11 @@ def corrections(forms: DataFrame, counts: DataFrame) -> DataFrame:
     # Confusions are pairs of short strings; those that several words show are kept, and at most a few thousand can be.
     seen = best.select(F.explode(F.array_distinct("ops")).alias("op")).groupBy("op").agg(F.count(F.lit(1)).alias("words"))
     rate = seen.withColumn("words", F.when(F.col("op").isin(USUAL), F.col("words") + MIN_WORDS).otherwise(F.col("words"))).where(F.col("words") >= MIN_WORDS)
-    total = rate.agg(F.sum("words").alias("total"))
+    total = float(rate.agg(F.sum("words").alias("total")).first()["total"] or 1)
     weighed = (
         found.select("form", "before", "candidate", "count", F.size("ops").alias("needed"), F.explode("ops").alias("op"))
-        .join(rate.crossJoin(F.broadcast(total)), "op").where(F.col("words") >= F.lit(0.003) * F.col("total"))
-        .groupBy("form", "before", "candidate", "count", "needed").agg(F.count(F.lit(1)).alias("had"), F.sum(F.log(F.col("words") / F.col("total"))).alias("likely"))
+        .join(rate, "op").where(F.col("words") >= 0.003 * total)
+        .groupBy("form", "before", "candidate", "count", "needed").agg(F.count(F.lit(1)).alias("had"), F.sum(F.log(F.col("words") / F.lit(total))).alias("likely"))
         .where("had = needed")
     )
     with_context = weighed.withColumn("bucket", _context_column("before", "candidate")).join(counts.where("bucket is not null").select("bucket", F.col("n").alias("together")), "bucket", "left")
