@@ -182,6 +182,14 @@ def html_blocks(spark, sf_dir):
     return parse.html_blocks(page, "doc_id", "html")
 
 
+@query()
+def html_links(spark, sf_dir):
+    """Links of pages whose HTML is made from the documents' own URLs."""
+    d = table(spark, sf_dir, "ingested_documents").where("source_type = 'web' and doc_metadata['url'] is not null").select("id", F.col("doc_metadata")["url"].alias("url"))
+    page = d.withColumn("html", F.concat(F.lit("<body><a href='/about'>a</a><a href='mailto:x@y.z'>m</a><a href='next'>n</a><a href='"), "url", F.lit("#top'>t</a><a href='logo.png'>l</a></body>")))
+    return parse.html_links(page, "id", "url", "html")
+
+
 @query(rf"""with c as (select distinct id, content, list_min(location_meta.pages) as page from document_chunks where location_meta.pages is not null and content is not null),
 b as (select id as document_id, page as page_number, unnest(range(0, len(x)))::int as block_no, unnest(x) as raw from (select id, page, string_split(content, chr(10) || chr(10)) as x from c))
 select document_id, page_number, block_no, text from (select document_id, page_number, block_no, regexp_replace(raw, {_STRIP}) as text from b) where text <> ''""")
@@ -483,11 +491,24 @@ def url_domain(spark, sf_dir):
     return table(spark, sf_dir, "crawl_pages").where("url is not null").select("url").distinct().withColumn("host", urls.url_domain(F.col("url")))
 
 
-@query()
+_CANONICAL = r"""u as (select distinct url, regexp_replace(trim(url), '#.*$', '') as x from crawl_pages where url is not null),
+parts as (select url, lower(regexp_extract(x, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as s, lower(regexp_extract(x, '^[A-Za-z]+://([^/?]*)', 1)) as h, regexp_extract(x, '^[A-Za-z]+://[^/?]*([^?]*)', 1) as p,
+  list_sort(list_filter(string_split(regexp_extract(x, '\?(.*)$', 1), '&'), lambda t: t <> '' and not regexp_matches(lower(t), '^(utm_|fbclid|gclid|ref)'))) as f from u),
+canonical as (select url, s || '://' || case when s = 'http' then regexp_replace(h, ':80$', '') when s = 'https' then regexp_replace(h, ':443$', '') else h end
+  || case when p = '' then '/' else regexp_replace(regexp_replace(p, '/[^/]+/\.\./', '/', 'g'), '/+', '/', 'g') end || case when len(f) > 0 then '?' || array_to_string(f, '&') else '' end as canonical from parts)"""
+
+
+@query(f"with {_CANONICAL} select url, canonical from canonical")
 def url_canonical(spark, sf_dir):
     return table(spark, sf_dir, "crawl_pages").where("url is not null").select("url").distinct().withColumn("canonical", urls.canonical_url(F.col("url")))
 
 
+@query(f"""with {_CANONICAL} select c.canonical, count(distinct p.url) as spellings, count(distinct p.id) as visits from crawl_pages p join canonical c on c.url = p.url group by 1""")
+def url_dedup(spark, sf_dir):
+    pages = table(spark, sf_dir, "crawl_pages").where("url is not null").select("id", "url").distinct()
+    return pages.groupBy(urls.canonical_url(F.col("url")).alias("canonical")).agg(F.countDistinct("url").alias("spellings"), F.countDistinct("id").alias("visits"))
+
+
 @query("""with patterns as (select distinct lower(trim(domain)) as p from crawl_domains where enabled and domain is not null), seen as (select distinct url, regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) as h from crawl_pages where url is not null)
 select url from seen where exists (select 1 from patterns where h = p or ends_with(h, '.' || p) or h = 'www.' || p or p = 'www.' || h)""")
 def url_allowed(spark, sf_dir):
@@ -540,3 +561,22 @@ def crawl_domain_totals(spark, sf_dir):
 def crawl_visits_out_of_bounds(spark, sf_dir):
     jobs = table(spark, sf_dir, "crawl_jobs").select(F.col("id").alias("job_id"), F.col("max_depth"), "completed_at")
     return table(spark, sf_dir, "crawl_pages").join(jobs, "job_id").where("depth > max_depth or crawled_at > completed_at").select("id", "job_id").distinct()
+
+
+@query("""select p.id, p.url, p.status_code, epoch_us(p.crawled_at) as crawled_us from (select distinct id, url, status_code, crawled_at from crawl_pages where job_id = (select arg_max(id, (created_at, id)) from crawl_jobs where created_at is not null)) p
+order by crawled_us desc, p.id limit 100""")
+def crawl_job_pages(spark, sf_dir):
+    """The latest job's visits, latest first."""
+    job = table(spark, sf_dir, "crawl_jobs").where("created_at is not null").agg(F.max_by("id", F.struct("created_at", "id")).alias("job_id"))
+    own = table(spark, sf_dir, "crawl_pages").join(F.broadcast(job), "job_id", "left_semi").select("id", "url", "status_code", F.unix_micros("crawled_at").alias("crawled_us")).distinct()
+    return own.orderBy(F.col("crawled_us").desc(), "id").limit(100)
+
+
+@query(f"""with {HITS}, {_terms('content')}, {_terms('title')} select 'content' as store, count(*) as entries from postings_content union all select 'title', count(*) from postings_title
+union all select 'vectors', count(*) from embeddings e where e.vec_id in (select chunk_id from hits)""")
+def reindex_counts(spark, sf_dir):
+    """What a full rebuild writes to each index."""
+    h = hits(spark, sf_dir)
+    count = lambda d, n: d.agg(F.count(F.lit(1)).alias("entries")).select(F.lit(n).alias("store"), "entries")
+    stored = vectors(spark, sf_dir).join(h.select("chunk_id"), "chunk_id", "left_semi")
+    return count(lexical.postings(h, "content"), "content").unionByName(count(lexical.postings(h, "title"), "title")).unionByName(count(stored, "vectors"))
