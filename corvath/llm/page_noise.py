@@ -134,7 +134,8 @@ class Headers:
 
     def __init__(self, title: str | None, repeated, forms):
         name = re.sub(r"\.pdf$", "", (title or "").strip(), flags=re.I)
-        self.keys = [k for k in dict.fromkeys([letters(name), *(repeated if repeated is not None else [])]) if len(k) >= 8]
+        self.keys = [k for k in [letters(name)] if len(k) >= 8]
+        self.repeated = frozenset(repeated if repeated is not None else [])
         # a title made from a file name lacks what isn't ASCII, and may be cut short
         self.slug = letters(re.sub(r"-\d+$", "", name)) if re.fullmatch(r"[a-z0-9-]+", name) else ""
         self.forms = [_form_pattern(f) for f in (forms if forms is not None else [])]
@@ -146,7 +147,7 @@ class Headers:
         plain = "".join(c for c in own if c.isascii())
         if len(self.slug) >= 8 and (plain == self.slug or len(self.slug) >= 20 and plain.startswith(self.slug) and len(plain) < len(self.slug) + 25):
             return True
-        if any(f.fullmatch(line.strip().lower()) for f in self.forms):
+        if line.strip() in self.repeated or any(f.fullmatch(line.strip().lower()) for f in self.forms):
             return True
         for key in self.keys:
             if own == key or len(own) >= 16 and len(key) > len(own) and key.startswith(own) and line.strip()[-1] not in ".,;":
@@ -197,7 +198,7 @@ def repeats_of(contents: list[str]) -> list[str]:
                 edge = i == 0 or i == last or off[i - 1] or off[i + 1]
                 near = [next((lines[j] for j in way if not off[j]), "") for way in (range(i - 1, -1, -1), range(i + 1, last + 1))]
                 places.setdefault(line, []).append((near[0], near[1], edge))
-    return [letters(k) for k, v in places.items() if len(v) > 1 and len({a for a, _, _ in v}) > 1 and len({b for _, b, _ in v}) > 1 and 2 * sum(e for _, _, e in v) > len(v)]
+    return [k for k, v in places.items() if len(v) > 1 and len({a for a, _, _ in v}) > 1 and len({b for _, b, _ in v}) > 1 and 2 * sum(e for _, _, e in v) > len(v)]
 
 
 def forms_of(contents: list[str]) -> list[str]:
