@@ -5,7 +5,9 @@ that stand on a large enough share of a host's pages are the constant tokens of
 one host are constant wherever they occur. Groups of a host's pages are aligned one after the other with the wrapper
 found so far: tokens that one side lacks become optional, what comes again becomes repeated, what differs becomes a text
 slot, and a constant that heads a run of short slots becomes the head of a list. Partial wrappers of a host are added up.
-What a page's lines match of the wrapper, and the lists under its heads, isn't the article.
+Every page is aligned with the wrapper again, its title being a token too: a slot between two tokens that holds only
+short lines on nearly all pages, and not what follows the title, is a slot of noise. What a page's lines match of the
+wrapper, the lists under its heads and its slots of noise aren't the article.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ CONSTANT = ((5, 0.08), (4, 0.4))
 #: Pages of one group, on average: a host's pages are spread over groups of bounded size.
 GROUP_PAGES = 1_000
 LIST_SHARE = 0.5
+#: The share of its pages on which a slot of noise may hold a sentence.
+SENTENCE_SHARE = 0.05
+#: Tokens of a text slot, of the page's title, and of the page's start and end; what stands for any token.
+SLOT, TITLE, EDGE, ANY = 1, 2, 3, 0
 _SENTENCE = re.compile(r"[.!?…。][\"'”’»)“]*$")
 _BULLET = re.compile(r"^(?:[-*•·]|\d+[.)])\s+")
 _NAME = re.compile(r"(?<![^\W\d_’'-])[^\W\d_a-zß-ÿ][^\W\d_]*(?:[’'-][^\W\d_]+)*")
@@ -176,15 +182,41 @@ def align(wrapper: list[int], stream: list[int]) -> list[int]:
     return [t for k, t in enumerate(out) if t != 1 or k == 0 or out[k - 1] != 1]
 
 
+def slots_of(page: Page, title: str | None, wrapper: list[int]) -> Iterator[tuple[int, int, list[int]]]:
+    """The page's text slots as left token, right token and lines: its tokens aligned with the wrapper's order.
+
+    A constant that the alignment leaves over, as it stands against the wrapper's order, parts no slots unless it comes
+    again at its place.
+    """
+    own = _same(title)
+    stream = [(TITLE if own and _same(page.lines[i]) == own else page.token[i], i) for b in page.blocks for i in b]
+    fixed = [k for k, (t, _) in enumerate(stream) if t and t != TITLE]
+    at: set[int] = set()
+    for a, b, n in SequenceMatcher(None, [t for t in wrapper if t != SLOT], [stream[k][0] for k in fixed], autojunk=False).get_matching_blocks():
+        at.update(fixed[b : b + n])
+    left, lines = EDGE, []
+    for k, (t, i) in enumerate(stream):
+        if t == TITLE or k in at:
+            if lines:
+                yield left, t, lines
+            left, lines = t, []
+        elif not t:
+            lines.append(i)
+    if lines:
+        yield left, EDGE, lines
+
+
 def _infer(pages: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
-    columns = ["host", "token", "place", "pages", "present", "again", "followed", "seen"]
+    columns = ["host", "token", "place", "pages", "present", "again", "followed", "seen", "right"]
     if not len(pages):
         return pd.DataFrame([], columns=columns)
     known = set(tokens["token"].tolist())
     streams: Counter = Counter()
     present, again, followed, seen = Counter(), Counter(), Counter(), Counter()
+    kept = []
     for text in pages["text"]:
         page = Page(text, known)
+        kept.append(page)
         streams[tuple(page.stream)] += 1
         own = Counter(t for t in page.stream if t != 1)
         present.update(own.keys())
@@ -197,10 +229,20 @@ def _infer(pages: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
         if not set(stream) <= set(wrapper):
             wrapper = align(wrapper, list(stream))
     host = pages["host"].iloc[0]
-    return pd.DataFrame([(host, t, k / max(1, len(wrapper) - 1), len(pages), present[t], again[t], followed[t], seen[t]) for k, t in enumerate(wrapper) if t != 1], columns=columns)
+    rows = [(host, t, k / max(1, len(wrapper) - 1), len(pages), present[t], again[t], followed[t], seen[t], ANY) for k, t in enumerate(wrapper) if t != 1]
+    slots, sentences, several = Counter(), Counter(), Counter()
+    for page, title in zip(kept, pages["title"]):
+        own: dict[tuple[int, int], list[int]] = {}
+        for left, right, lines in slots_of(page, title, wrapper):
+            own.setdefault((left, right), []).extend(lines)
+        slots.update(own.keys())
+        sentences.update(k for k, lines in own.items() if any(not is_short(page.lines[i]) for i in lines))
+        several.update(k for k, lines in own.items() if len(lines) > 1 or k[1] == TITLE)
+    rows += [(host, left, 0.0, len(pages), n, sentences[left, right], several[left, right], n, right) for (left, right), n in slots.items() if left != TITLE]
+    return pd.DataFrame(rows, columns=columns)
 
 
-_WRAPPER = "host string, token bigint, place double, pages bigint, present bigint, again bigint, followed bigint, seen bigint"
+_WRAPPER = "host string, token bigint, place double, pages bigint, present bigint, again bigint, followed bigint, seen bigint, right bigint"
 
 
 def _spread(rows: DataFrame, pages: DataFrame) -> DataFrame:
@@ -209,20 +251,45 @@ def _spread(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumnRenamed("host", "of_host").join(parts, "of_host")
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, token, place, pages, present, optional, repeated, list_head: the wrapper of every host, by place."""
+def partial_wrappers(pages: DataFrame) -> DataFrame:
+    """The wrapper of every group of a host's pages: a row per token, and one per text slot, which has a right token.
+
+    Of a slot, again counts the pages on which it holds a sentence, followed those on which it holds several lines.
+    """
     tokens = _spread(constants(pages), pages)
-    own = pages.select("host", "part", "text")
-    partial = own.groupBy("host", "part").cogroup(tokens.groupBy("of_host", "of_part")).applyInPandas(_infer, _WRAPPER)
-    whole = partial.groupBy("host", "token").agg(F.avg("place").alias("place"), *[F.sum(c).alias(c) for c in ("pages", "present", "again", "followed", "seen")])
+    own = pages.select("host", "part", "title", "text")
+    return own.groupBy("host", "part").cogroup(tokens.groupBy("of_host", "of_part")).applyInPandas(_infer, _WRAPPER)
+
+
+def noise_slots(partial: DataFrame, pages: DataFrame) -> DataFrame:
+    """host, token, right of the slots of noise: frequent between two tokens, or, with right ANY, after the left one.
+
+    A single short line may be a heading of the article, so most of a slot's pages must hold several, unless the title follows.
+    """
+    (least, share), (least_small, share_small) = CONSTANT
+    hosts = pages.groupBy("host").agg(F.first("host_pages").alias("host_pages"))
+    slots = partial.where(F.col("right") != ANY).groupBy("host", "token", "right").agg(F.sum("present").alias("n"), F.sum("again").alias("sentences"), F.sum("followed").alias("several")).join(hosts, "host")
+    frequent = ((F.col("n") >= least) & (F.col("n") >= share * F.col("host_pages"))) | ((F.col("n") >= least_small) & (F.col("n") >= share_small * F.col("host_pages")))
+    listed = frequent & (F.col("sentences") <= SENTENCE_SHARE * F.col("n")) & (F.col("several") >= LIST_SHARE * F.col("n"))
+    after = slots.where(F.col("token") != EDGE).groupBy("host", "host_pages", "token").agg(F.sum("n").alias("n"), F.sum("sentences").alias("sentences"), F.sum("several").alias("several")).where(listed)
+    return slots.where(listed).select("host", "token", "right").unionByName(after.select("host", "token", F.lit(ANY).cast("bigint").alias("right")))
+
+
+def wrappers(pages: DataFrame, partial: DataFrame | None = None) -> DataFrame:
+    """host, token, place, pages, present, optional, repeated, list_head: the wrapper of every host, by place."""
+    partial = partial_wrappers(pages) if partial is None else partial
+    whole = partial.where(F.col("right") == ANY).groupBy("host", "token").agg(F.avg("place").alias("place"), *[F.sum(c).alias(c) for c in ("pages", "present", "again", "followed", "seen")])
     return whole.select(
         "host", "token", F.round("place", 4).alias("place"), "pages", "present", (F.col("present") < F.col("pages")).alias("optional"), (F.col("again") > 0).alias("repeated"),
         (F.col("followed") >= LIST_SHARE * F.col("seen")).alias("list_head"),
     )
 
 
-def noise_lines(text: str, title: str | None, known: set[int], heads: set[int]) -> list[int]:
-    """Numbers, from 1, of the non-blank lines that aren't the article's."""
+def noise_lines(text: str, title: str | None, known: set[int], heads: set[int], wrapper: list[int] | None = None, slots: set[tuple[int, int]] = frozenset()) -> list[int]:
+    """Numbers, from 1, of the non-blank lines that aren't the article's.
+
+    wrapper: the host's tokens by place; slots: left and right token of the slots of noise, right ANY after any page's left one.
+    """
     page = Page(text, known)
     lines, token = page.lines, page.token
     own = _same(title)
@@ -247,13 +314,22 @@ def noise_lines(text: str, title: str | None, known: set[int], heads: set[int])
                 noise.add(i)
             elif not k and len(b) > 2 and len(hit) == len(b) - 1:
                 noise.add(i)
+    begun = any(own and _same(line) == own for line in lines)  # else the title may stand in any slot before the text
+    for left, right, slot in slots_of(page, title, wrapper) if slots else ():
+        begun = begun or any(not is_short(lines[i]) for i in slot)
+        if begun and (len(slot) > 1 or right == TITLE) and ((left, right) in slots or (left, ANY) in slots) and all(is_short(lines[i]) for i in slot):
+            noise.update(slot)
     return sorted(i + 1 for i in noise)
 
 
 def _classify(pages: pd.DataFrame, wrapper: pd.DataFrame) -> pd.DataFrame:
-    known = set(wrapper["token"].tolist())
-    heads = set(wrapper.loc[wrapper["list_head"].astype(bool), "token"].tolist()) if len(wrapper) else set()
-    found = [(d, noise_lines(text, title, known, heads), text) for d, title, text in zip(pages["document_id"], pages["title"], pages["text"])]
+    tokens = wrapper[wrapper["list_head"].notna()].sort_values(["place", "token"])
+    order = tokens["token"].tolist()
+    known = set(order)
+    heads = set(tokens.loc[tokens["list_head"].astype(bool), "token"].tolist()) if len(tokens) else set()
+    listed = wrapper[wrapper["list_head"].isna()]
+    slots = set(zip(listed["token"].tolist(), listed["right"].tolist()))
+    found = [(d, noise_lines(text, title, known, heads, order, slots), text) for d, title, text in zip(pages["document_id"], pages["title"], pages["text"])]
     article = []
     for _, noise, text in found:
         drop = set(noise)
@@ -269,7 +345,12 @@ def extract(documents: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFram
     that holds a third of all pages is spread over groups of bounded size in every step.
     """
     pages = cut_lineage(pages_of(documents, sites))
-    found = cut_lineage(wrappers(pages))
-    spread = _spread(found.select("host", "token", "list_head"), pages)
+    partial = cut_lineage(partial_wrappers(pages))
+    found = cut_lineage(wrappers(pages, partial))
+    none = F.lit(None)
+    known = found.select("host", "token", "place", "list_head", F.lit(ANY).cast("bigint").alias("right")).unionByName(
+        noise_slots(partial, pages).select("host", "token", none.cast("double").alias("place"), none.cast("boolean").alias("list_head"), "right")
+    )
+    spread = _spread(known, pages)
     out = pages.select("host", "part", "document_id", "title", "text").groupBy("host", "part").cogroup(spread.groupBy("of_host", "of_part")).applyInPandas(_classify, "document_id string, noise array<int>, article string")
     return out, found

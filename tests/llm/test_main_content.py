@@ -62,6 +62,22 @@ def test_noise_of_two_sites(spark, monkeypatch):
     assert len(heads) == 2 and all(r.present == r.pages - (r.host == "a.x") for r in heads)
 
 
+def test_slots_of_varying_lines_between_constants(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeioustrn") for _ in range(8))
+    pages = []
+    for i in range(40):
+        title = f"Report {word()} {word()}"
+        body = [f"The {word()} tells of {word()} and {word()}.", "", f"Chapter {word()}"]
+        related = ["Related pages", ""] + [f"The {word()} of {word()}" for _ in range(3)] + ["", "Subscribe to our letter"]
+        lines = ["Home | News | About", "", title, "", *body, "", *related, *([] if i % 4 else ["", "Legal notice"])]
+        start = lines.index("Related pages")
+        noise = [1] + [k + 1 for k, x in enumerate(lines) if k >= start and x]
+        pages.append((f"c.z-{i}", title, "\n".join(lines), noise))
+    got = {r.document_id: list(r.noise) for r in mc.extract(*frames(spark, pages))[0].collect()}
+    assert all(got[d] == noise for d, _, _, noise in pages)
+
+
 def test_align_makes_optionals():
     assert mc.align([5, 1, 7], [5, 6, 1, 7]) == [5, 6, 1, 7]
     assert mc.align([], [5, 1]) == [5, 1]
