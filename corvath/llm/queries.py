@@ -95,7 +95,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, sites = table(spark, sf_dir, "ingested_documents"), _sites(spark, sf_dir)
-    return site_lines.without_repeated_lines(documents, sites, site_lines.repeated_lines(documents, sites))
+    return site_lines.without_repeated_lines(documents, sites, site_lines.repeated_lines(documents, sites), clusters=site_lines.repeated_clusters(documents, sites))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
