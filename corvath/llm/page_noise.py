@@ -135,6 +135,7 @@ class Headers:
     def __init__(self, title: str | None, repeated, forms):
         name = re.sub(r"\.pdf$", "", (title or "").strip(), flags=re.I)
         self.keys = [k for k in [letters(name)] if len(k) >= 8]
+        self.name = " ".join(name.lower().split())
         self.repeated = frozenset(repeated if repeated is not None else [])
         # a title made from a file name lacks what isn't ASCII, and may be cut short
         self.slug = letters(re.sub(r"-\d+$", "", name)) if re.fullmatch(r"[a-z0-9-]+", name) else ""
@@ -142,12 +143,14 @@ class Headers:
 
     def match(self, line: str) -> bool:
         own = letters(line)
-        if len(own) < 8:
+        if own and (line.strip() in self.repeated or " ".join(line.lower().split()) == self.name):
+            return True
+        if len(own) < 8:  # too short to be compared by likeness
             return False
         plain = "".join(c for c in own if c.isascii())
         if len(self.slug) >= 8 and (plain == self.slug or len(self.slug) >= 20 and plain.startswith(self.slug) and len(plain) < len(self.slug) + 25):
             return True
-        if line.strip() in self.repeated or any(f.fullmatch(line.strip().lower()) for f in self.forms):
+        if any(f.fullmatch(line.strip().lower()) for f in self.forms):
             return True
         for key in self.keys:
             if own == key or len(own) >= 16 and len(key) > len(own) and key.startswith(own) and line.strip()[-1] not in ".,;":
@@ -177,8 +180,10 @@ def furniture(lines: list[str], pages: list[int] | None, headers: Headers) -> li
             out.append((False, not column))
             continue
         rest, number = split_marker(line, pages)
-        header = len(rest) < 160 and headers.match(rest)
-        out.append((header, number and header))
+        header = headers.match(rest)
+        if number and not header:  # in text, only a page's number at the edge of a page counts
+            number = bool(pages) and any(not 0 <= j < len(lines) or not lines[j].strip() for j in (i - 1, i + 1)) and not any(split_marker(lines[j], pages)[1] for j in (i - 1, i + 1) if 0 <= j < len(lines))
+        out.append((header, number))
     return out
 
 
@@ -187,18 +192,33 @@ def _title_like(line: str) -> bool:
 
 
 def repeats_of(contents: list[str]) -> list[str]:
-    """Lines that a document repeats between different neighbours: running headers that needn't be the title."""
-    places: dict[str, list[tuple[str, str, bool]]] = {}
-    for text in contents:
+    """Lines that a document repeats between different neighbours: running headers that needn't be the title.
+
+    A line that looks like a title needs two such places; any other one needs three, all at page edges and on at least
+    half of the document's chunks.
+    """
+    places: dict[str, list[tuple[str, str, bool, int]]] = {}
+    for at, text in enumerate(contents):
         lines = [split_marker(line, None)[0].strip() for line in text.split("\n")]
         off = [not x or bool(_NUMBER.fullmatch(x)) for x in lines]
         last = len(lines) - 1
+        before, after = [""] * len(lines), [""] * len(lines)
+        for i in range(1, len(lines)):
+            before[i] = before[i - 1] if off[i - 1] else lines[i - 1]
+            after[last - i] = after[last - i + 1] if off[last - i + 1] else lines[last - i + 1]
         for i, line in enumerate(lines):
-            if _title_like(line):
+            if not off[i] and any(c.isalpha() for c in line) and line[-1] not in MARKS:
                 edge = i == 0 or i == last or off[i - 1] or off[i + 1]
-                near = [next((lines[j] for j in way if not off[j]), "") for way in (range(i - 1, -1, -1), range(i + 1, last + 1))]
-                places.setdefault(line, []).append((near[0], near[1], edge))
-    return [k for k, v in places.items() if len(v) > 1 and len({a for a, _, _ in v}) > 1 and len({b for _, b, _ in v}) > 1 and 2 * sum(e for _, _, e in v) > len(v)]
+                places.setdefault(line, []).append((before[i], after[i], edge, at))
+    found = []
+    for line, v in places.items():
+        befores, afters = {a for a, _, _, _ in v}, {b for _, b, _, _ in v}
+        if _title_like(line) and len(v) > 1 and len(befores) > 1 and len(afters) > 1 and 2 * sum(e for _, _, e, _ in v) > len(v):
+            found.append(line)
+        # chunks overlap: what one line has before it, or after it, at two places may be the start or end of a chunk
+        elif len(v) > 2 and all(e for _, _, e, _ in v) and max(len(befores - {""}), len(afters - {""})) > 2 and 2 * len({at for _, _, _, at in v}) >= len(contents):
+            found.append(line)
+    return found
 
 
 def forms_of(contents: list[str]) -> list[str]:
@@ -220,7 +240,10 @@ class Parsed:
     def __init__(self, content: str, pages, headers: Headers, before: str | None, after: str | None):
         self.lines = content.split("\n")
         self.marks = furniture(self.lines, pages, headers)
-        self.body = [i for i, l in enumerate(self.lines) if l.strip() and not any(self.marks[i])]
+        for i, (header, number) in enumerate(self.marks):
+            if number and not header and not marker(self.lines[i], pages):  # the number goes, the line stays
+                self.lines[i] = split_marker(self.lines[i], pages)[0]
+        self.body = [i for i, l in enumerate(self.lines) if l.strip() and not self.marks[i][0] and not (self.marks[i][1] and marker(l, pages))]
         self.breaks: list[tuple[int, str, str, str]] = []  # line, first part, mark, second part
         for k, i in enumerate(self.body):
             if m := _BROKEN.search(self.lines[i].rstrip()):

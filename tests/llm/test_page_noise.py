@@ -60,3 +60,21 @@ def test_empty(spark):
     documents, chunks = tables(spark)
     noise, pages, _ = pn.page_noise(documents.limit(0), chunks.limit(0))
     assert noise.count() == 0 and pn.cleaned(noise, pages).count() == 0
+
+
+def test_headers_of_any_length_and_script():
+    for header in ("年度报告", "التقرير", "acta", "IR", "notes on x"):
+        texts = [f"{header}\n\nWhat page {'a' * k} says.\nIt goes on {'b' * k}.\n\n{header}\n\nAnd then {'c' * k} ends.\nSo it is {'d' * k}." for k in range(1, 5)]
+        assert pn.repeats_of(texts) == [header]
+        assert pn.Headers(None, [header], []).match(header)
+    assert pn.Headers("Acta.pdf", [], []).match("ACTA") and not pn.Headers("Acta.pdf", [], []).match("Actas")
+    overlap = ["one two\nthree\n\nshared", "shared\n\nfour\nfive"]
+    assert pn.repeats_of(overlap) == []
+
+
+def test_page_number_beside_an_unknown_header():
+    lines = ["So it ended.", "", "12   Unknown head", "", "It went on."]
+    headers = pn.Headers("Another title of it", [], [])
+    assert pn.furniture(lines, [12], headers)[2] == (False, True)
+    assert pn.furniture(lines, [13], headers)[2] == (False, False)
+    assert "Unknown head" in pn.reflow("\n".join(lines), [12], headers, None, None, set(), {}) and "12" not in pn.reflow("\n".join(lines), [12], headers, None, None, set(), {})
