@@ -44,6 +44,22 @@ def test_all_pairs_of_brute_force(spark, monkeypatch):
     assert "n" not in groups and "two" not in groups and groups["eq"].class_id == "eq"
 
 
+def test_pairs_that_eight_words_miss(spark):
+    rng, docs, eight = random.Random(8), [], lambda t: set(nd.anchors_of(nd.min_hashes(nd.shingle_hashes(t.split(), 3))).tolist())
+    while len(docs) < 8:
+        a = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+        b = list(a)
+        for at in rng.sample(range(2, 118, 4), 8):
+            b[at] = f"u{rng.randrange(10**6)}"
+        x, y = " ".join(a), " ".join(b)
+        if not eight(x) & eight(y):
+            docs += [(f"{len(docs)}", x), (f"{len(docs) + 1}", y)]
+    expected = brute(docs, 0.6, 3)
+    assert len(expected) == 4
+    members, links = nd.near_duplicates(spark.createDataFrame(docs, "id string, raw_content string"), threshold=0.6, shingle=3)
+    assert {tuple(r) for r in nd.all_pairs(members, links).collect()} == expected
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}", 1.0) for i in range(60)] + [("x", "y", 1.0)], "x string, y string, similarity double")
     got = {r.rep: r.label for r in nd.components(links).collect()}
