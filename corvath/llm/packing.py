@@ -24,15 +24,18 @@ ROUNDS = 3
 MAX_LIMITS = 100
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+def lower_bound(sizes: np.ndarray, capacity: int, items: np.ndarray | None = None) -> int:
     """The bins that these sizes need at least: the largest bound of two families of dual feasible functions.
 
+    items: how often each size comes, where the sizes are those of a histogram.
+
     One family drops sizes below e and counts sizes above capacity - e as whole bins, for each e up to half the capacity;
     the other rounds (k + 1) x / capacity down, for small k.
     """
     if not len(sizes):
         return 0
-    count = np.bincount(np.asarray(sizes, dtype=np.int64), minlength=capacity + 1).astype(np.int64)
+    count = np.zeros(capacity + 1, dtype=np.int64)
+    np.add.at(count, np.asarray(sizes, dtype=np.int64), 1 if items is None else np.asarray(items, dtype=np.int64))
     number, volume = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
     best = math.ceil(volume[-1] / capacity)
     e = np.arange(1, capacity // 2 + 1)
@@ -145,9 +148,9 @@ def certificate(packed: DataFrame, limits: DataFrame) -> DataFrame:
     capacity = limits.select("limit_name", F.col("max_size").cast("int").alias("capacity")).distinct()
 
     def bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = np.repeat(pdf["n_tokens"].to_numpy(), pdf["items"].to_numpy())
+        sizes, items = pdf["n_tokens"].to_numpy(), pdf["items"].to_numpy()
         c = int(pdf["capacity"].iloc[0])
-        return pd.DataFrame({"limit_name": pdf["limit_name"].iloc[:1], "capacity": c, "items": len(sizes), "volume": int(sizes.sum()), "lower_bound": lower_bound(sizes, c)})
+        return pd.DataFrame({"limit_name": pdf["limit_name"].iloc[:1], "capacity": c, "items": int(items.sum()), "volume": int((sizes * items).sum()), "lower_bound": lower_bound(sizes, c, items)})
 
     bounds = histogram.join(F.broadcast(capacity), "limit_name").groupBy("limit_name").applyInPandas(bound, "limit_name string, capacity int, items bigint, volume bigint, lower_bound bigint")
     used = packed.select("limit_name", "container_id").distinct().groupBy("limit_name").agg(F.count(F.lit(1)).alias("containers"))

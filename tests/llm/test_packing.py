@@ -54,3 +54,11 @@ def test_whole_items_and_capacity(spark):
 def test_empty(spark):
     sizes = spark.createDataFrame([], "doc_id bigint, n_tokens bigint")
     assert packing.pack(sizes, spark.createDataFrame([("a", 100)], LIMITS)).count() == 0
+
+
+def test_bound_of_a_histogram_needs_no_row_per_item():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 65, 500)
+    values, items = np.unique(sizes, return_counts=True)
+    assert packing.lower_bound(values, 64, items) == packing.lower_bound(sizes, 64)
+    assert packing.lower_bound(np.array([40, 24]), 64, np.array([10**12, 10**12])) == 10**12
