@@ -1,8 +1,8 @@
 """Cutting giant text files: byte ranges are read on their own, and no task ever holds a whole file.
 
-Every range is first measured (its code points and line ends). Prefix sums of these, over one row per range, give each
-range its place in the file. Then each range is read again, with a halo before it, finds the cuts whose windows end in
-it as corvath.llm.splitting does, and emits the pieces that end at these cuts.
+Every range is first measured (its code points). Prefix sums of these, over one row per range, give each range its place
+in the file. Then each range is read with a halo for its table of boundaries, the tables are stitched as
+corvath.llm.splitting does, and the ranges in which pieces end are read once more to emit them by offset.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .splitting import best_cut, stride_of
+from corvath.session import cut_lineage
+
+from . import splitting
 
 RANGE_BYTES = 4 << 20
-_AHEAD = 64 * 4  # bytes read beyond a range: for a character that straddles its end, and to look past a cut
+_CONTINUATION = [bytes([b]) for b in range(0x80, 0xC0)]
 
 
 def _read(path: str, start: int, end: int) -> bytes:
@@ -27,13 +29,6 @@ def _read(path: str, start: int, end: int) -> bytes:
         return f.read(end - start)
 
 
-def _first(data: bytes, at: int) -> int:
-    """The first byte at or after `at` that begins a character."""
-    while at < len(data) and data[at] & 0xC0 == 0x80:
-        at += 1
-    return at
-
-
 def file_ranges(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
     """path, size, range_no, byte_start, byte_end of files that all executors can read."""
     sizes = []
@@ -48,67 +43,30 @@ def file_ranges(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_
 
 def _measure(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        chars, lines = [], []
+        chars = []
         for r in pdf.itertuples(index=False):
             data = _read(r.path, r.byte_start, r.byte_end)
             chars.append(len(data) - sum(map(data.count, _CONTINUATION)))
-            lines.append(data.count(b"\n"))
-        yield pdf.assign(n_chars=chars, n_lines=lines)
-
-
-_CONTINUATION = [bytes([b]) for b in range(0x80, 0xC0)]
+        yield pdf.assign(n_chars=chars)
 
 
-def _emit(max_size: int, overlap: int):
-    stride, slack = stride_of(max_size, overlap)
+def _load(halo: int):
+    """The bytes of each range and its halo, as splitting.ranges_of has them of texts."""
 
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
             for r in pdf.itertuples(index=False):
-                # the cuts whose windows end in this range, and the end of the file in its last range
-                start, end = int(r.char_start), int(r.char_start + r.n_chars)
-                last = -(-int(r.total_chars) // stride) - 1
-                ks = [k for k in range(max(1, start // stride + bool(start % stride)), last + 1) if start <= k * stride < end]
-                if r.byte_end == r.size:
-                    ks.append(last + 1)
-                if not ks:
-                    continue
-                back = max(0, r.byte_start - 4 * (2 * max_size))
-                data = _read(r.path, back, min(r.size, r.byte_end + _AHEAD))
-                own = _first(data, r.byte_start - back)
-                before = data[_first(data, 0) : own].decode("utf-8", "replace")
-                stop = len(data) if r.byte_end + _AHEAD >= r.size else _complete(data)
-                text = before + data[own:stop].decode("utf-8", "replace")
-                origin, lines = start - len(before), int(r.line_start)
-
-                def cut(k: int) -> tuple[int, str]:
-                    if k == 0:
-                        return 0, "start"
-                    if k > last:
-                        return int(r.total_chars), "end"
-                    at, kind = best_cut(text, k * stride - slack - origin, k * stride - origin)
-                    return at + origin, kind
-
-                for k in ks:
-                    a, (b, kind) = cut(k - 1)[0], cut(k)
-                    a = max(0, a - overlap) if k > 1 else 0
-                    line = lines + (text.count("\n", len(before), a - origin) if a >= start else -text.count("\n", a - origin, len(before)))
-                    out.append((r.path, k - 1, a, b, line + 1, kind, text[a - origin : b - origin]))
-            yield pd.DataFrame(out, columns=["path", "piece_no", "char_start", "char_end", "line_start", "boundary", "content"])
+                before = min(r.byte_start, halo)
+                data = _read(r.path, r.byte_start - before, min(r.size, r.byte_end + halo))
+                yield pd.DataFrame([(r.path.encode(), r.path, r.range_no, r.char_start, r.total_chars, data, before, r.byte_end - r.byte_start)], columns=[c.split()[0] for c in _RANGE.split(", ")])
 
     return rows
 
 
-def _complete(data: bytes) -> int:
-    """The length without a character that is cut off at the end."""
-    n = len(data)
-    while n and n > len(data) - 4 and data[n - 1] & 0xC0 == 0x80:
-        n -= 1
-    return n - 1 if n and data[n - 1] >= 0xC0 else len(data)
+_RANGE = "key binary, record_id string, range_no bigint, char_start bigint, total_chars bigint, data binary, before int, own int"
 
 
-def split_files(spark: SparkSession, paths: list[str], max_size: int, overlap: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def split_files(spark: SparkSession, paths: list[str], max_size: int, overlap: int, range_bytes: int = RANGE_BYTES, block_chars: int = splitting.BLOCK_CHARS) -> DataFrame:
     """path, piece_no, char_start, char_end, line_start, boundary, content of UTF-8 files.
 
     Pieces are at most max_size code points, overlap by `overlap`, and are the same whatever the size of the ranges. A
@@ -116,10 +74,25 @@ def split_files(spark: SparkSession, paths: list[str], max_size: int, overlap: i
     """
     if not 0 <= overlap < max_size:
         raise ValueError("overlap must be smaller than max_size, and not negative")
-    ranges = file_ranges(spark, paths, range_bytes)
-    measured = ranges.mapInPandas(_measure, "path string, size bigint, range_no bigint, byte_start bigint, byte_end bigint, n_chars bigint, n_lines bigint")
+    range_bytes = max(range_bytes, 4)
+    measured = file_ranges(spark, paths, range_bytes).mapInPandas(_measure, "path string, size bigint, range_no bigint, byte_start bigint, byte_end bigint, n_chars bigint")
     before = Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = measured.select(
-        "*", F.coalesce(F.sum("n_chars").over(before), F.lit(0)).alias("char_start"), F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("line_start"), F.sum("n_chars").over(Window.partitionBy("path")).alias("total_chars")
-    )
-    return placed.repartition("path", "range_no").mapInPandas(_emit(max_size, overlap), "path string, piece_no bigint, char_start bigint, char_end bigint, line_start bigint, boundary string, content string")
+    placed = cut_lineage(measured.select("*", F.coalesce(F.sum("n_chars").over(before), F.lit(0)).alias("char_start"), F.sum("n_chars").over(Window.partitionBy("path")).alias("total_chars"))).repartition("path", "range_no")
+    limits = [("file", max_size, overlap)]
+    long = placed.where(F.col("total_chars") > max_size)
+    tables = long.mapInPandas(_load(splitting.HALO), _RANGE).mapInArrow(splitting._detect(limits), splitting._TABLE)
+    cuts = splitting.stitched(tables, limits, block_chars)
+    piece = F.struct("limit_name", "piece_no", "char_start", "char_end", "line_start", "line_end", "boundary")
+    ending = cuts.groupBy(F.col("record_id").alias("path"), "range_no").agg(F.collect_list(piece).alias("pieces"))
+    whole = placed.where((F.col("total_chars") <= max_size) & (F.col("byte_end") == F.col("size"))).select(
+        "path", "range_no", F.array(F.struct(F.lit("file").alias("limit_name"), F.lit(0).cast("bigint").alias("piece_no"), F.lit(0).cast("bigint").alias("char_start"), F.col("total_chars").alias("char_end"), F.lit(1).cast("bigint").alias("line_start"), F.lit(1).cast("bigint").alias("line_end"), F.lit("end").alias("boundary"))).alias("pieces")
+    )
+    back = 4 * max_size
+
+    def read(r: dict) -> tuple[bytes, int]:
+        own = min(r["byte_start"], back)
+        return _read(r["record_id"], r["byte_start"] - own, min(r["size"], r["byte_end"] + 4)), own
+
+    joined = placed.join(ending.unionByName(whole), ["path", "range_no"]).select(F.col("path").alias("record_id"), "size", "byte_start", "byte_end", "char_start", "pieces")
+    out = joined.mapInArrow(splitting.emit(read), f"record_id string, {splitting.PIECES}")
+    return out.select(F.col("record_id").alias("path"), "piece_no", "char_start", "char_end", "line_start", "boundary", "content")
