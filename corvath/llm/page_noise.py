@@ -1,10 +1,12 @@
 """Page noise in the text of scanned PDFs: broken words, misread characters, running headers and page numbers.
 
 Words are judged by a vocabulary with counts, taken from all records that aren't PDF uploads. A word of a PDF that the
-vocabulary lacks gets its candidates by running a Levenshtein automaton (bit-parallel, two errors) over tries of the
-vocabulary, sharded by word length, so that no task holds the whole vocabulary. How characters are confused is learned
-from the words whose best candidate is clear; candidates are ranked by these confusions, by frequency and by how often
-they follow the word before. Page furniture goes, broken words are joined and lines are put together to paragraphs.
+vocabulary lacks, or has next to never, gets its candidates by running a Levenshtein automaton (bit-parallel, two errors,
+where two characters read as one, or one as two, are one error) over tries of the vocabulary. Tries and words are cut into
+parts of bounded size by length, so that no task holds either whole. How characters are confused is learned from the
+words whose best candidate is clear; candidates are ranked at each occurrence by these confusions, by frequency and by
+how often they follow the word before. Page furniture goes, broken words are joined and lines are put together to
+paragraphs.
 """
 
 from __future__ import annotations
@@ -27,19 +29,27 @@ from corvath.session import cut_lineage
 MAX_ERRORS = 2
 #: Words of one trie, about; a length with more words is cut into several tries.
 SHARD_WORDS = 20_000
+#: Unknown words that meet one trie in one task, about.
+PART_WORDS = 1_000
+#: Up to so many misread forms with the word before (some 100 bytes each) are broadcast; more of them are joined.
+BROADCAST_FIXES = 200_000
+#: The least share of all confusions that a confusion must have.
+OP_SHARE = 0.003
 #: Bigrams of words are counted in so many buckets by hash: a table of fixed size.
 CONTEXT_BUCKETS = 1 << 18
-#: A confusion counts as seen where so many different words show it, or where it is one of the usual ones.
+#: A confusion counts as seen where so many different words show it.
 MIN_WORDS = 3
-#: A masked line is a form of header where so many documents, and such a share of them, have it.
+#: A word of this share of the vocabulary's words, or less, may be a misread one; then a candidate must be RATIO times as
+#: frequent, and follow the word before somewhere.
+RARE_SHARE, RATIO = 1e-6, 100
+#: A masked line is a form of header where so many documents of one producer, and such a share of them, have it.
 FORM_DOCUMENTS, FORM_SHARE = 3, 0.01
 _NAME = "¤"
 MARKS = "-­‐¬"
-# Right > misread, the shapes that text recognition usually confuses.
-USUAL = "e>c h>b t>f m>rn d>cl w>vv l>I l>1 i>l i>1 o>0 g>q u>ii ü>ii n>ri rn>m cl>d vv>w s>5 b>6 c>e b>h f>t q>g I>l".split()
 _WORD = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
 _TOKEN = re.compile(r"[^\W_]+(?:[’'-][^\W_]+)*")
 _NUMBER = re.compile(r"(?:[Pp]age|[Ss]eite|[Pp]ágina|[Ss]tr(?:ona)?\.?|[Pp]\.|[Ss]\.|[Сс]тр\.?)?\s*(?:[-–—\[(]\s*)?(\d{1,5})(?:\s*[-–—\])])?(?:\s*(?:\||/|of|von|de|sur|z|из)\s*(\d{1,5}))?")
+_ROMAN = re.compile(r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _BROKEN = re.compile(rf"([^\W\d_]+)([{MARKS}])$")
 _BEGINS = re.compile(r"[^\W\d_]+")
 
@@ -60,32 +70,33 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = n
 
-    def near(self, word: str, errors: int = MAX_ERRORS) -> list[tuple[str, int]]:
-        """All words of the trie within so many edits: the automaton's states go down the trie together with the path."""
+    def near(self, word: str) -> list[tuple[str, int]]:
+        """All words of the trie within MAX_ERRORS: the automaton's states go down the trie together with the path.
+
+        Bit i of a state tells that i characters of the word are read: without error (a), with one (b), with two (c). An
+        error is an edit, or two characters of one side for one of the other, which looks back at the states before.
+        """
         n = len(word)
         at: dict[str, int] = {}
-        for i, c in enumerate(word):
-            at[c] = at.get(c, 0) | 1 << i
-        full = (1 << (n + 1)) - 1
-        accept = 1 << n
-        start = tuple((1 << (e + 1)) - 1 & full for e in range(errors + 1))
+        for i, ch in enumerate(word):
+            at[ch] = at.get(ch, 0) | 1 << i
+        full, accept, mask = (1 << (n + 1)) - 1, 1 << n, at.get
         found = []
-        stack = [(self.root, "", start)]
+        stack = [(self.root, "", 1, 3 & full, 7 & full, 0, 0)]
         while stack:
-            node, path, states = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if states[-1] & accept:
+            node, path, a, b, c, a0, b0 = stack.pop()
+            any_b, any_c = a | a << 1 | a << 2 | a0 << 1, b | b << 1 | b << 2 | b0 << 1
+            for ch, child in node.items():
+                if ch == "":
+                    if c & accept:
                         found.append((path, child))
                     continue
-                mask = at.get(c, 0)
-                new = (states[0] & mask) << 1
-                nxt = [new]
-                for e in range(1, errors + 1):
-                    new = ((states[e] & mask) << 1 | states[e - 1] | states[e - 1] << 1 | nxt[e - 1] << 1) & full
-                    nxt.append(new)
-                if nxt[-1]:
-                    stack.append((child, path + c, tuple(nxt)))
+                m = mask(ch, 0)
+                x = (a & m) << 1
+                y = ((b & m) << 1 | any_b | x << 1) & full
+                z = ((c & m) << 1 | any_c | y << 1) & full
+                if z:
+                    stack.append((child, path + ch, x, y, z, a, b))
         return found
 
 
@@ -103,7 +114,12 @@ def confusions(right: str, read: str) -> list[str] | None:
 
 
 def marker(line: str, pages: list[int] | None) -> bool:
-    """Whether a line, or what is left of a header line, is the number of one of the chunk's pages."""
+    """Whether a line, or what is left of a header line, is the number of one of the chunk's pages.
+
+    Small Roman numbers on a line of their own count pages of a preface, which location_meta doesn't number.
+    """
+    if _ROMAN.fullmatch(line.strip(" -–—[]()")):
+        return True
     m = _NUMBER.fullmatch(line.strip())
     if not m:
         return False
@@ -331,18 +347,23 @@ def scanned_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
     A document's chunks meet in one group, whose size the length of one document bounds.
     """
-    pdf = documents.where("lower(mime_type) like '%pdf%'").select(F.col("id").alias("document_id"), "title").dropDuplicates(["document_id"])
+    producer = F.coalesce(F.col("doc_metadata")["producer"], F.lit("")) if "doc_metadata" in documents.columns else F.lit("")
+    pdf = documents.where("lower(mime_type) like '%pdf%'").select(F.col("id").alias("document_id"), "title", producer.alias("producer")).dropDuplicates(["document_id"])
     own = chunks.where("content is not null and id is not null").select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "content", F.col("location_meta.pages").alias("pages")).dropDuplicates(["chunk_id"]).join(pdf, "document_id")
 
-    def repeated(group: pd.DataFrame) -> pd.DataFrame:
-        texts = group["content"].drop_duplicates().tolist()
-        return pd.DataFrame({"document_id": group["document_id"].iloc[:1], "repeated": [repeats_of(texts)], "forms": [forms_of(texts)]})
-
-    heads = cut_lineage(own.select("document_id", "content").groupBy("document_id").applyInPandas(repeated, "document_id string, repeated array<string>, forms array<string>"))
-    # Forms of at least a share of the documents: at most (lines of a document / FORM_SHARE) of them, counted over all.
-    least = max(FORM_DOCUMENTS, FORM_SHARE * heads.count())
-    forms = sorted(r["form"] for r in heads.select(F.explode("forms").alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect())
-    heads = heads.select("document_id", "repeated", F.array(*map(F.lit, forms)).cast("array<string>").alias("forms"))
+    def repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            lists = [pa.array([f(x) for x in texts], pa.list_(pa.string())) for f in (repeats_of, forms_of)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["document_id", "producer", "repeated", "forms"])
+
+    by_document = own.groupBy("document_id").agg(F.first("producer").alias("producer"), F.array_sort(F.collect_set("content")).alias("texts"))
+    heads = cut_lineage(by_document.mapInArrow(repeated, "document_id string, producer string, repeated array<string>, forms array<string>"))
+    # A producer's forms: of at least a share of its documents, so at most (lines of a document / FORM_SHARE) of them.
+    every = heads.groupBy("producer").agg(F.count(F.lit(1)).alias("documents"))
+    frequent = heads.select("producer", F.explode("forms").alias("form")).groupBy("producer", "form").agg(F.count(F.lit(1)).alias("n")).join(every, "producer").where((F.col("n") >= FORM_DOCUMENTS) & (F.col("n") >= FORM_SHARE * F.col("documents")))
+    forms = frequent.groupBy("producer").agg(F.array_sort(F.collect_list("form")).alias("forms"))
+    heads = heads.drop("forms").join(forms, "producer", "left").select("document_id", "repeated", F.coalesce("forms", F.array().cast("array<string>")).alias("forms"))
     in_order = Window.partitionBy("document_id").orderBy("chunk_index", "chunk_id")
     tail, head = F.expr("right(content, 60)"), F.expr("left(content, 200)")
     return own.withColumn("before", F.lag(tail).over(in_order)).withColumn("after", F.lead(head).over(in_order)).join(heads, "document_id", "left").select("chunk_id", "content", "pages", "title", "repeated", "forms", "before", "after")
@@ -350,8 +371,8 @@ def scanned_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def _retrieve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     trie = Trie(zip(right["word"], right["n"]))
-    rows = [(form, before, n, c, count, ops) for form, before, n in zip(left["form"], left["before"], left["n"]) for c, count in trie.near(form) if (ops := confusions(c, form)) and not _new_letters(c, form)]
-    return pd.DataFrame(rows, columns=["form", "before", "n", "candidate", "count", "ops"])
+    rows = [(form, own, c, count, ops) for form, own in zip(left["form"], left["own"]) for c, count in trie.near(form) if (not own or count >= RATIO * own) and not _new_letters(c, form) and (ops := confusions(c, form))]
+    return pd.DataFrame(rows, columns=["form", "own", "candidate", "count", "ops"])
 
 
 def _new_letters(right: str, read: str) -> bool:
@@ -360,32 +381,44 @@ def _new_letters(right: str, read: str) -> bool:
 
 
 def corrections(forms: DataFrame, counts: DataFrame) -> DataFrame:
-    """form, candidate: the misread words with what they were.
+    """form, before, candidate: the misread words with what they were after each word before them.
 
     forms: form, before, n of the words of the pages; counts: word, bucket, n of the vocabulary and its bigrams.
     """
-    vocabulary = counts.where("word is not null and n > 1").select("word", "n")
-    known = counts.where("word is not null").select(F.col("word").alias("form"))
-    unknown = forms.where(F.length("form") >= 2).groupBy("form").agg(F.max_by("before", "n").alias("before"), F.sum("n").alias("n")).join(known, "form", "left_anti")
-    lengths = vocabulary.groupBy(F.length("word").alias("length")).agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_WORDS)).cast("int").alias("shards"))
-    # Every unknown word goes to the tries of its length and one more or less: a query set against all words, in blocks.
-    sharded = vocabulary.withColumn("length", F.length("word")).join(F.broadcast(lengths), "length").select("word", "n", "length", F.pmod(F.hash("word"), "shards").alias("shard"))
-    asked = unknown.withColumn("length", F.explode(F.sequence(F.length("form") - 1, F.length("form") + 1))).join(F.broadcast(lengths), "length").select("form", "before", "n", "length", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    found = cut_lineage(asked.groupBy("length", "shard").cogroup(sharded.groupBy("length", "shard")).applyInPandas(_retrieve, "form string, before string, n bigint, candidate string, count bigint, ops array<string>"))
-    best = found.groupBy("form").agg(F.max_by("ops", "count").alias("ops"))
+    words = counts.where("word is not null").select("word", "n")
+    vocabulary = words.where("n > 1")
+    rare = RARE_SHARE * float(words.agg(F.sum("n").alias("n")).first()["n"] or 0)  # a number
+    asked = forms.where(F.length("form") >= 2).groupBy("form", "before").agg(F.sum("n").alias("n"))
+    known = words.select(F.col("word").alias("form"), F.col("n").alias("own"))
+    unknown = asked.select("form").distinct().join(known, "form", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(F.col("own") <= rare)
+    # Words and tries meet in parts of bounded size; every unknown word goes to all tries of its length and up to
+    # MAX_ERRORS more or less: a query set against all words, in blocks.
+    length = F.length("word").alias("length")
+    lengths = vocabulary.groupBy(length).agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_WORDS)).cast("int").alias("shards"))
+    near = unknown.withColumn("length", F.explode(F.sequence(F.greatest(F.lit(1), F.length("form") - MAX_ERRORS), F.length("form") + MAX_ERRORS)))
+    parts = near.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_WORDS)).cast("int").alias("parts")).join(lengths, "length")  # a row for each length of a word
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = near.join(F.broadcast(parts), "length").select("form", "own", "length", F.pmod(F.hash("form"), "parts").alias("part"), numbers("shards").alias("shard"))
+    right = vocabulary.withColumn("length", F.length("word")).join(F.broadcast(parts), "length").select("word", "n", "length", F.pmod(F.hash("word"), "shards").alias("shard"), numbers("parts").alias("part"))
+    keys = ["length", "shard", "part"]
+    tasks = 8 * forms.sparkSession.sparkContext.defaultParallelism  # little data, much work: not to be merged by size
+    found = cut_lineage(left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(_retrieve, "form string, own bigint, candidate string, count bigint, ops array<string>"))
+    best = found.where("own = 0").groupBy("form").agg(F.max_by("ops", "count").alias("ops"))
     # Confusions are pairs of short strings; those that several words show are kept, and at most a few thousand can be.
     seen = best.select(F.explode(F.array_distinct("ops")).alias("op")).groupBy("op").agg(F.count(F.lit(1)).alias("words"))
-    rate = seen.withColumn("words", F.when(F.col("op").isin(USUAL), F.col("words") + MIN_WORDS).otherwise(F.col("words"))).where(F.col("words") >= MIN_WORDS)
+    rate = cut_lineage(seen.where(F.col("words") >= MIN_WORDS))
     total = float(rate.agg(F.sum("words").alias("total")).first()["total"] or 1)
     weighed = (
-        found.select("form", "before", "candidate", "count", F.size("ops").alias("needed"), F.explode("ops").alias("op"))
-        .join(rate, "op").where(F.col("words") >= 0.003 * total)
-        .groupBy("form", "before", "candidate", "count", "needed").agg(F.count(F.lit(1)).alias("had"), F.sum(F.log(F.col("words") / F.lit(total))).alias("likely"))
+        found.select("form", "own", "candidate", "count", F.size("ops").alias("needed"), F.explode("ops").alias("op"))
+        .join(rate, "op").where(F.col("words") >= OP_SHARE * total)
+        .groupBy("form", "own", "candidate", "count", "needed").agg(F.count(F.lit(1)).alias("had"), F.sum(F.log(F.col("words") / F.lit(total))).alias("likely"))
         .where("had = needed")
     )
-    with_context = weighed.withColumn("bucket", _context_column("before", "candidate")).join(counts.where("bucket is not null").select("bucket", F.col("n").alias("together")), "bucket", "left")
+    # every occurrence's word before decides anew
+    placed = weighed.join(asked, "form").withColumn("bucket", _context_column("before", "candidate"))
+    with_context = placed.join(counts.where("bucket is not null").select("bucket", F.col("n").alias("together")), "bucket", "left").where("own = 0 or together is not null")
     score = F.log("count") + F.col("likely") + F.log1p(F.coalesce("together", F.lit(0)))
-    return with_context.groupBy("form").agg(F.max_by("candidate", F.struct(score, "candidate")).alias("candidate"))
+    return with_context.groupBy("form", "before").agg(F.max_by("candidate", F.struct(score, "candidate")).alias("candidate"))
 
 
 def _context_column(before: str, word: str):
@@ -397,7 +430,7 @@ def _context_column(before: str, word: str):
 
 
 def page_noise(documents: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """noise (chunk_id, noise, form, right), the chunks it was found in (see scanned_chunks) and the vocabulary's counts.
+    """noise (chunk_id, noise, form, before, right), the chunks it was found in (see scanned_chunks) and the vocabulary's counts.
 
     Null contents and ids are left out, exact duplicate rows count once, null pages take no bare number for a page's;
     empty tables give empty results.
@@ -408,17 +441,17 @@ def page_noise(documents: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Data
     counts = cut_lineage(texts.mapInArrow(_vocabulary, "word string, bucket int, n bigint").groupBy("word", "bucket").agg(F.sum("n").alias("n")))
     words = counts.where("word is not null").select("word", "n")
 
-    plain = forms.where("kind in ('running_header', 'page_number')").select("chunk_id", F.col("kind").alias("noise"), F.lit("").alias("form"), F.lit("").alias("right"))
-    sure = forms.where("kind = 'hyphenation'").select("chunk_id", F.col("kind").alias("noise"), F.col("other").alias("form"), F.col("form").alias("right"))
+    plain = forms.where("kind in ('running_header', 'page_number')").select("chunk_id", F.col("kind").alias("noise"), F.lit("").alias("form"), F.lit("").alias("before"), F.lit("").alias("right"))
+    sure = forms.where("kind = 'hyphenation'").select("chunk_id", F.col("kind").alias("noise"), F.col("other").alias("form"), F.lit("").alias("before"), F.col("form").alias("right"))
     breaks = (
         forms.where("kind = 'break'").select("chunk_id", "form", "other")
         .join(words.select(F.col("word").alias("form"), F.col("n").alias("joined")), "form", "left")
         .join(words.select(F.col("word").alias("other"), F.col("n").alias("apart")), "other", "left")
         .where(F.coalesce("joined", F.lit(0)) >= F.coalesce("apart", F.lit(0)))
-        .select("chunk_id", F.lit("hyphenation").alias("noise"), F.col("other").alias("form"), F.col("form").alias("right"))
+        .select("chunk_id", F.lit("hyphenation").alias("noise"), F.col("other").alias("form"), F.lit("").alias("before"), F.col("form").alias("right"))
     )
     fixes = cut_lineage(corrections(forms.where("kind = 'word'").select("form", "before", "n"), counts))
-    misread = forms.where("kind = 'word'").select("chunk_id", "form").distinct().join(fixes, "form").select("chunk_id", F.lit("misread").alias("noise"), "form", F.col("candidate").alias("right"))
+    misread = forms.where("kind = 'word'").select("chunk_id", "form", "before").join(F.broadcast(fixes) if fixes.count() <= BROADCAST_FIXES else fixes, ["form", "before"]).select("chunk_id", F.lit("misread").alias("noise"), "form", "before", F.col("candidate").alias("right"))
     return plain.unionByName(sure).unionByName(breaks).unionByName(misread).distinct(), pages, counts
 
 
@@ -426,17 +459,27 @@ def _shaped(token: str, right: str) -> str:
     return right.upper() if token.isupper() and len(token) > 1 else right[0].upper() + right[1:] if token[0].isupper() else right
 
 
-def reflow(content: str, pages, headers: Headers, before, after, joins: set[str], fixes: dict[str, str]) -> str:
-    """Paragraphs of one line each: without furniture, with broken words joined and misread words put right."""
+def reflow(content: str, pages, headers: Headers, before, after, joins: set[str], fixes: dict[tuple[str, str], str]) -> str:
+    """Paragraphs of one line each: without furniture, with broken words joined and misread words put right.
+
+    fixes: by the word before and the misread word.
+    """
     p = Parsed(content, pages, headers, before, after)
     broken = {i: (mark, canonical(first) + "-" + second.lower()) for i, first, mark, second in p.breaks}
     body = set(p.body)
-    out, paragraph, glue, blank = [], "", "", False
+    out, paragraph, glue, blank, last = [], "", "", False, ""
+    alone = {form: right for (_, form), right in fixes.items()}
+
+    def put(m: re.Match) -> str:
+        nonlocal last
+        before, last = last, canonical(m.group())
+        right = fixes.get((before, last)) or alone.get(last)
+        return _shaped(m.group(), right) if right else m.group()
 
     def close() -> None:
         nonlocal paragraph
         if paragraph.strip():
-            out.append(_TOKEN.sub(lambda m: _shaped(m.group(), fixes[c]) if (c := canonical(m.group())) in fixes else m.group(), paragraph.strip()))
+            out.append(_TOKEN.sub(put, paragraph.strip()))
         paragraph = ""
 
     for i, line in enumerate(p.lines):
@@ -465,7 +508,7 @@ def _ended(paragraph: str) -> bool:
 
 def cleaned(noise: DataFrame, pages: DataFrame) -> DataFrame:
     """chunk_id, content, noises: every chunk of a PDF as continuous paragraphs; a chunk without noise is reflowed alike."""
-    pair = F.struct("form", "right")
+    pair = F.struct("before", "form", "right")
     own = noise.groupBy("chunk_id").agg(
         F.array_sort(F.collect_set("noise")).alias("noises"),
         F.collect_list(F.when(F.col("noise") == "hyphenation", F.col("form"))).alias("joins"), F.collect_list(F.when(F.col("noise") == "misread", pair)).alias("fixes"),
@@ -474,7 +517,7 @@ def cleaned(noise: DataFrame, pages: DataFrame) -> DataFrame:
     def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             text = [
-                reflow(r.content, None if r.pages is None else list(r.pages), Headers(r.title, r.repeated, r.forms), r.before, r.after, set(r.joins if r.joins is not None else ()), {x["form"]: x["right"] for x in (r.fixes if r.fixes is not None else ())})
+                reflow(r.content, None if r.pages is None else list(r.pages), Headers(r.title, r.repeated, r.forms), r.before, r.after, set(r.joins if r.joins is not None else ()), {(x["before"], x["form"]): x["right"] for x in (r.fixes if r.fixes is not None else ())})
                 for r in pdf.itertuples(index=False)
             ]
             yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "content": text, "noises": [list(x) if x is not None else [] for x in pdf["noises"]]})
