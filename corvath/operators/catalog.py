@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvath.functions.urls import normalize_domain
-
-MAX_RAW = 100_000
+from corvath.functions.urls import canonical_url, normalize_domain, url_domain
+from corvath.operators.crawl import allowed
 
 
 def content_hash(documents: DataFrame, text_col: str) -> DataFrame:
@@ -91,6 +90,25 @@ def cancel_job(jobs: DataFrame, job_id: str) -> DataFrame:
     return jobs.withColumn("status", F.when((F.col("id") == job_id) & F.col("status").isin("queued", "running"), "cancelled").otherwise(F.col("status")))
 
 
-def latest_chunk_order(chunks: DataFrame) -> DataFrame:
-    """Chunks numbered within their document by index."""
-    return chunks.withColumn("position", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index", "id")))
+def delete_domain(domains: DataFrame, domain: str) -> DataFrame:
+    """The allowlist without a domain; a ValueError where it isn't there."""
+    if domains.where(F.col("domain") == domain).isEmpty():
+        raise ValueError(f"{domain} isn't on the list")
+    return domains.where(F.col("domain").isNull() | (F.col("domain") != domain))
+
+
+def create_jobs(requests: DataFrame, domains: DataFrame) -> DataFrame:
+    """id, seed_url, domain, status, max_depth, max_pages, rate_limit_delay of requested crawls (id, seed_url, max_depth,
+    max_pages, rate_limit_delay).
+
+    Status is queued, or rejected where the seed has no host, its domain isn't on the list (unless the list has no
+    enabled domain at all), or depth (1 to 5), pages (1 to 100) or delay (0.1 to 10) are out of range. A delay that isn't
+    given is the domain's, else 1.
+    """
+    enabled = domains.where("enabled").select(normalize_domain(F.col("domain")).alias("domain"), F.col("rate_limit_delay").alias("own_delay")).dropDuplicates(["domain"])
+    none = enabled.isEmpty()
+    asked = requests.withColumn("domain", url_domain(F.col("seed_url")))
+    fine = allowed(asked.select("id", "seed_url"), domains, "seed_url").select("id", F.lit(True).alias("listed")).distinct()
+    joined = asked.join(fine, "id", "left").join(enabled, "domain", "left").withColumn("delay", F.coalesce("rate_limit_delay", "own_delay", F.lit(1.0)))
+    good = (F.coalesce("listed", F.lit(False)) | F.lit(none)) & F.col("domain").isNotNull() & F.col("max_depth").between(1, 5) & F.col("max_pages").between(1, 100) & F.col("delay").between(0.1, 10.0)
+    return joined.select("id", canonical_url(F.col("seed_url")).alias("seed_url"), "domain", F.when(good, "queued").otherwise("rejected").alias("status"), "max_depth", "max_pages", F.col("delay").alias("rate_limit_delay"))

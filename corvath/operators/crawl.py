@@ -16,24 +16,22 @@ from corvath.sources.parse import html_links
 def allowed(urls: DataFrame, domains: DataFrame, url_col: str = "url") -> DataFrame:
     """The rows whose URL's host an enabled entry of the allowlist allows.
 
-    Plain entries meet by equality on the host, its parents and its www twin; entries with a wildcard, which a list has
-    few of, are matched one by one and refused beyond a thousand.
+    Plain entries meet by equality on the host, its parents and its www twin. An entry with a wildcard meets by what
+    follows its last wildcard, if that begins with a dot (*.x.org), and is then matched in full; what is left (a wildcard
+    at the end) meets every host, of which there are far fewer than URLs.
     """
     patterns = domains.where("enabled").select(normalize_domain(F.col("domain")).alias("pattern")).where("pattern <> ''").distinct()
-    wild = [r.pattern for r in patterns.where(F.col("pattern").contains("*")).limit(1001).collect()]
-    if len(wild) > 1000:
-        raise ValueError("more than 1000 wildcard entries")
     host = url_domain(F.col(url_col))
-    hit = F.lit(False)
-    for p in wild:
-        hit = hit | domain_allowed(host, F.lit(p))
+    hosts = cut_lineage(urls.select(host.alias("own_host")).where("own_host is not null").distinct())
     plain = patterns.where(~F.col("pattern").contains("*"))
-    hosts = urls.select(host.alias("own_host")).where("own_host is not null").distinct()
-    # by host, of which there are far fewer than URLs
-    good = hosts.select("own_host", F.explode(domain_keys(F.col("own_host"))).alias("pattern")).join(plain, "pattern").select("own_host").distinct()
-    with_host = urls.withColumn("own_host", host)
-    by_list = with_host.join(good.withColumn("listed", F.lit(True)), "own_host", "left")
-    return by_list.where(F.coalesce("listed", F.lit(False)) | F.coalesce(hit, F.lit(False))).select(*urls.columns)
+    good = hosts.select("own_host", F.explode(domain_keys(F.col("own_host"))).alias("pattern")).join(plain, "pattern").select("own_host")
+    wild = patterns.where(F.col("pattern").contains("*")).withColumn("key", F.nullif(F.regexp_extract("pattern", "\\*\\.([^*]*)$", 1), F.lit("")))
+    by_key = hosts.select("own_host", F.explode(domain_keys(F.col("own_host"))).alias("key")).join(wild.where("key is not null"), "key").where(domain_allowed(F.col("own_host"), F.col("pattern"))).select("own_host")
+    # one array of them: matched within the host's row
+    rest = wild.where("key is null").agg(F.collect_set("pattern").alias("rest")).first()["rest"]
+    by_rest = hosts.where(F.exists(F.array(*map(F.lit, sorted(rest))), lambda p: domain_allowed(F.col("own_host"), p))) if rest else hosts.limit(0)
+    listed = good.unionByName(by_key).unionByName(by_rest).distinct()
+    return urls.withColumn("own_host", host).join(listed, "own_host", "left_semi").select(*urls.columns)
 
 
 def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str, url_col: str = "url") -> DataFrame:

@@ -36,3 +36,26 @@ def means(per_query: DataFrame, *by: str) -> DataFrame:
     """The mean of every metric, of 4 places, by mode or whatever else is named."""
     own = [c for c in per_query.columns if c not in ("query_id", *by)]
     return per_query.groupBy(*by).agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 4).alias(c) for c in own])
+
+
+def by_mode(lexical: DataFrame, semantic: DataFrame, pool: int = 50, limit: int = 10, k: int = 60) -> DataFrame:
+    """mode, query_id, item, rank of many queries in the three modes, from scored candidates (query_id, item, score).
+
+    The best `pool` of each engine are candidates; hybrid is their reciprocal rank fusion by a full join of the ranks. All
+    queries go together, and a mode's ranks are taken within its queries; ties go by item.
+    """
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item")
+    lex, sem = (d.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool) for d in (lexical, semantic))
+    part = lambda r: F.coalesce(F.lit(1.0) / (F.lit(float(k)) + F.col(r)), F.lit(0.0))
+    both = lex.select("query_id", "item", F.col("rank").alias("l")).join(sem.select("query_id", "item", F.col("rank").alias("s")), ["query_id", "item"], "full")
+    fused = both.withColumn("score", F.round(part("l") + part("s"), 10)).withColumn("rank", F.row_number().over(best))
+    named = [d.where(F.col("rank") <= limit).select(F.lit(n).alias("mode"), "query_id", "item", "rank") for n, d in (("lexical", lex), ("semantic", sem), ("hybrid", fused))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def metrics_by_mode(retrieved: DataFrame, judged: DataFrame) -> DataFrame:
+    """mode, query_id and the metrics of every judged query in every mode, retrieved or not."""
+    modes = F.explode(F.array(*map(F.lit, ("lexical", "semantic", "hybrid")))).alias("mode")
+    key = F.struct("mode", "query_id").alias("query_id")
+    out = metrics(retrieved.select(key, "item", "rank"), judged.select("*", modes).select(key, "item", "grade"))
+    return out.select("query_id.mode", "query_id.query_id", *[c for c in out.columns if c != "query_id"])

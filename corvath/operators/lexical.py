@@ -51,12 +51,12 @@ def bm25(indexed: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
     """
     wanted = indexed.join(queries.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    s = stats.first()  # two numbers
-    n, avgdl = float(s["n"] or 0), float(s["avgdl"] or 1)
-    idf = F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    weight = F.col("tf") / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl)))
+    # the one row of statistics stands beside every term's frequency
+    both = df.withColumn("one", F.lit(1)).join(F.broadcast(stats.select(F.lit(1).alias("one"), F.col("n").cast("double").alias("n"), F.coalesce(F.col("avgdl").cast("double"), F.lit(1.0)).alias("avgdl"))), "one")
+    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    weight = F.col("tf") / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
     # scores per posting come before the queries, so a term that many queries share is weighed once
-    weighed = wanted.join(df, "term").select("term", "chunk_id", (idf * weight).alias("w"))
+    weighed = wanted.join(both, "term").select("term", "chunk_id", (idf * weight).alias("w"))
     return weighed.join(queries, "term").groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
 
 

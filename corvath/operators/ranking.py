@@ -60,9 +60,10 @@ def phrase_boost(content: Column, query: str) -> Column:
     text, distinct = F.lower(F.coalesce(content, F.lit(""))), sorted(set(terms))
     row = "(?U)\\b" + "\\s+".join(map(re.escape, terms)) + "\\b"
     w = words(text)
-    # windows start at places of the rarest thing to look for, a term of the query, and only where all terms occur at all
+    # a window that holds all terms may as well start at one of them
     all_in = lambda x: F.forall(F.array(*map(F.lit, distinct)), lambda t: F.array_contains(x, t))
-    near = all_in(w) & F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - WINDOW + 1)), lambda i: all_in(F.slice(w, i, F.lit(WINDOW))))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w))), lambda i: F.coalesce(F.get(w, i - 1).isin(distinct), F.lit(False)))
+    near = all_in(w) & F.exists(starts, lambda i: all_in(F.slice(w, i, F.lit(WINDOW))))
     return F.when(text.rlike(row), 1.25).when(near, 1.1).otherwise(1.0)
 
 
@@ -81,10 +82,13 @@ def rerank(hits: DataFrame, query: str, as_of: datetime) -> DataFrame:
     )
     # exact halves go up, whichever way the last bit of the product falls
     final = F.round(F.col("base") * F.col("title_boost") * F.col("authority_boost") * F.col("freshness_boost") * F.col("phrase_boost") + F.lit(1e-9), 4)
-    return scored.withColumn("final_score", final).withColumn("explanation", explanation(have))
+    return scored.withColumn("final_score", final).withColumn("explanation", explanation(have, query, as_of))
 
 
-def explanation(have: set[str]) -> Column:
+def explanation(have: set[str], query: str, as_of: datetime) -> Column:
+    """What made up a hit's score, a line for each signal that there is."""
+    optional = lambda c: F.col(c) if c in have else F.lit(None)
+    fixed = lambda c, n: F.format_string(f"%.{n}f", c)
     ranks = F.lit(None).cast("string")
     if {"lexical_rank", "semantic_rank"} <= have:
         lex, sem = F.col("lexical_rank"), F.col("semantic_rank")
@@ -92,10 +96,26 @@ def explanation(have: set[str]) -> Column:
             F.when(lex.isNotNull() & sem.isNotNull(), F.concat(F.lit("Ranks: lexical #"), lex, F.lit(", semantic #"), sem))
             .when(lex.isNotNull(), F.concat(F.lit("Lexical rank #"), lex)).when(sem.isNotNull(), F.concat(F.lit("Semantic rank #"), sem))
         )
+    in_anchor = F.lit(False)
+    for x in query_terms(query, distinct=True):
+        in_anchor = in_anchor | F.lower(F.coalesce(optional("anchor_label").cast("string"), F.lit(""))).contains(x)
+    curated = F.lit(False)
+    for x in CURATED:
+        curated = curated | F.coalesce(optional("host").cast("string"), F.lit("")).contains(x)
+    days = F.greatest(F.lit(0.0), (F.lit(int(as_of.timestamp() * 1_000_000)) - F.unix_micros("created_at")) / F.lit(86_400_000_000.0))
+    age = (
+        F.when(F.col("created_at").isNull(), "unknown age").when(days < 1, "today").when(days < 30, F.concat(F.floor(days).cast("string"), F.lit(" days")))
+        .when(days < 365, F.concat(F.floor(days / 30).cast("string"), F.lit(" months"))).otherwise(F.concat(fixed(days / 365, 1), F.lit(" years")))
+    )
+    similarity = optional("semantic_score").cast("double")
     return F.array_compact(
         F.array(
-            F.concat(F.lit("Base: "), F.format_number("base", 4)), F.when(F.col("title_boost") > 1, F.concat(F.lit("Title: x"), F.format_number("title_boost", 2))),
-            F.concat(F.lit("Authority of "), F.coalesce("source_type", F.lit("unknown")), F.lit(": x"), F.format_number("authority_boost", 2)), F.concat(F.lit("Freshness: x"), F.format_number("freshness_boost", 3)),
-            F.when(F.col("phrase_boost") > 1, F.concat(F.lit("Phrase: x"), F.format_number("phrase_boost", 2))), ranks,
+            F.concat(F.when(optional("rrf_score").isNotNull(), "Fused base: ").otherwise("Base: "), fixed(F.col("base"), 4)),
+            F.when(F.col("title_boost") > 1, F.concat(F.lit("Title: x"), fixed(F.col("title_boost"), 2))), F.when(in_anchor, "Anchor: a term of the query"),
+            F.concat(F.lit("Authority of "), F.coalesce("source_type", F.lit("unknown")), F.lit(": x"), fixed(F.col("authority_boost"), 2)),
+            F.when((F.col("source_type") == "web") & curated, "Curated host"),
+            F.concat(F.lit("Freshness: x"), fixed(F.col("freshness_boost"), 3), F.lit(" ("), age, F.lit(")")),
+            F.when(F.col("phrase_boost") > 1, F.concat(F.lit("Phrase: x"), fixed(F.col("phrase_boost"), 2))),
+            F.when(similarity.isNotNull(), F.concat(F.lit("Similarity: "), fixed(similarity, 3))), ranks,
         )
     )

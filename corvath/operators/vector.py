@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: Queries of one block: a block's vectors are sent to all tasks (4096 of 384 doubles are 12 MB).
 QUERY_BLOCK = 4096
 HASH_DIMENSIONS = 384
+MEMO_GRAMS = 200_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,10 +27,13 @@ def norm(a: Column) -> Column:
 
 
 def cosine_search(vectors: DataFrame, query: list[float], limit: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The nearest rows to one query vector, with `score` (4 places); the vector is a literal of the plan."""
+    """The nearest rows to one query vector, with `score` (4 places); the vector is a literal of the plan.
+
+    Null vectors and those of length 0, as blank texts have, aren't found.
+    """
     q = F.array(*[F.lit(float(x)) for x in query])
     length = float(np.sqrt(np.sum(np.square(np.asarray(query, dtype=np.float64)))))
-    value = dot(F.col(vector_col), q) / (norm(F.col(vector_col)) * F.lit(length or 1.0))
+    value = dot(F.col(vector_col), q) / F.nullif(norm(F.col(vector_col)) * F.lit(length or 1.0), F.lit(0.0))
     return vectors.withColumn("score", F.round(value, 4)).where("score is not null").orderBy(F.col("score").desc(), id_col).limit(limit)
 
 
@@ -80,7 +84,20 @@ def batch_search(vectors: DataFrame, queries: DataFrame, limit: int, id_col: str
     return every.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= limit).select("query_id", id_col, F.round("s", 4).alias("score"), "rank")
 
 
-def hash_vector(text: str, dimensions: int = HASH_DIMENSIONS) -> np.ndarray:
+class _Buckets(dict):
+    """The bucket of a gram's hash, remembered for as many grams as fit in some megabytes."""
+
+    def __init__(self, dimensions: int):
+        self.dimensions = dimensions
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= MEMO_GRAMS:
+            self.clear()
+        self[gram] = k = int(hashlib.blake2b(gram.encode(), digest_size=8).hexdigest(), 16) % self.dimensions
+        return k
+
+
+def hash_vector(text: str, dimensions: int = HASH_DIMENSIONS, buckets: dict[str, int] | None = None) -> np.ndarray:
     """Signed hashes of the words, weighed by position, and of the 3- to 5-grams of characters; of length 1."""
     v = np.zeros(dimensions, dtype=np.float32)
     lowered = text.lower().strip()
@@ -90,9 +107,9 @@ def hash_vector(text: str, dimensions: int = HASH_DIMENSIONS) -> np.ndarray:
         signed = (1.0 if a % 2 == 0 else -1.0) / np.sqrt(i + 1.0)
         v[a] += signed
         v[b] -= 0.5 * signed
-    for n in (3, 4, 5):
-        for i in range(len(lowered) - n + 1):
-            v[int(hashlib.blake2b(lowered[i : i + n].encode(), digest_size=8).hexdigest(), 16) % dimensions] += 0.25
+    buckets = _Buckets(dimensions) if buckets is None else buckets
+    grams = [buckets[lowered[i : i + n]] for n in (3, 4, 5) for i in range(len(lowered) - n + 1)]
+    v += np.float32(0.25) * np.bincount(np.array(grams, dtype=np.int64), minlength=dimensions).astype(np.float32)
     length = float(np.linalg.norm(v))
     return v / length if length > 1e-6 else v
 
@@ -101,12 +118,19 @@ def hash_embed(texts: DataFrame, id_col: str, text_col: str, dimensions: int = H
     """id_col, embedding; Spark has no such hash, hence a UDF on Arrow batches."""
 
     @F.pandas_udf("array<float>")
-    def embed(text: pd.Series) -> pd.Series:
-        return pd.Series([hash_vector(t or " ", dimensions) for t in text])
+    def embed(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        buckets = _Buckets(dimensions)
+        for part in text:
+            yield pd.Series([hash_vector(t or " ", dimensions, buckets) for t in part])
 
     return texts.select(id_col, embed(F.col(text_col)).alias("embedding"))
 
 
+def embed_query(query: str, dimensions: int = HASH_DIMENSIONS) -> list[float]:
+    """The vector of one query's text, as hash_embed makes those of texts."""
+    return hash_vector(query or " ", dimensions).tolist()
+
+
 def point_id(chunk_id: Column) -> Column:
     """The name-based (version 5, DNS namespace) UUID of a chunk's key."""
     h = F.sha1(F.concat(F.unhex(F.lit("6ba7b8109dad11d180b400c04fd430c8")), F.encode(chunk_id, "UTF-8")))

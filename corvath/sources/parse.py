@@ -15,17 +15,37 @@ from pyspark.sql import functions as F
 
 from corvath.functions.text import lines, stem_title, strip
 
-# The languages of source files by extension.
+# The languages of source files by extension; any other source file is "code".
 LANGUAGES = {
-    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".rs": "rust",
-    ".java": "java", ".c": "c", ".cpp": "cpp", ".h": "c", ".hpp": "cpp", ".cs": "csharp", ".rb": "ruby", ".php": "php", ".sh": "bash",
-    ".sql": "sql", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".css": "css",
-}
+    ".py": "python",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".go": "go",
+    ".rs": "rust",
+    ".java": "java",
+    ".c": "c",
+    ".cpp": "cpp",
+    ".h": "c",
+    ".hpp": "cpp",
+    ".cs": "csharp",
+    ".rb": "ruby",
+    ".php": "php",
+    ".css": "css",
+    ".sql": "sql",
+    ".json": "json",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".sh": "bash",
+    ".ps1": "powershell",
+}
+# Links to files of these kinds aren't followed.
+SKIPPED_FILES = (".pdf", ".zip", ".tar", ".gz", ".rar", ".7z", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".mp3", ".mp4", ".avi", ".mov", ".mkv", ".exe", ".dmg", ".bin", ".iso")
 CODE_LINES, CODE_STEP = 40, 30
 _SKIPPED = {"script", "style", "meta", "noscript", "iframe"}
 _BLOCKS = {"h1", "h2", "h3", "h4", "p", "li", "pre", "blockquote"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_BINARY = (".pdf", ".zip", ".gz", ".tar", ".exe", ".dmg", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".ico", ".mp3", ".mp4", ".avi", ".mov", ".css", ".js", ".woff", ".woff2")
 
 
 def decode(content: Column) -> Column:
@@ -49,7 +69,7 @@ def parser_of(file_name: Column, mime_type: Column) -> Column:
 
 def language_of(file_name: Column) -> Column:
     ext = F.lower(F.regexp_extract(F.coalesce(file_name, F.lit("")), "(\\.[^./]+)$", 1))
-    return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[ext]
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[ext], F.lit("code"))
 
 
 def text_blocks(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -152,6 +172,16 @@ def html_blocks(pages: DataFrame, id_col: str, html_col: str, stem_col: str | No
     return parsed.select("document_id", F.col("p.title").alias("title"), F.posexplode("p.blocks").alias("block_no", "b")).select("document_id", "title", "block_no", "b.tag", "b.text")
 
 
+def html_titles(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """id_col, html_title: the title, else the first heading of level one, else an empty string."""
+
+    @F.pandas_udf("string")
+    def title(html: pd.Series) -> pd.Series:
+        return pd.Series([parse_html(h or "")[0] for h in html])
+
+    return pages.select(id_col, title(F.col(html_col)).alias("html_title"))
+
+
 def html_links(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """document_id, link_no, link: absolute http(s) links in order, duplicates kept, without anchors, mail and files."""
 
@@ -165,7 +195,7 @@ def html_links(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
                 if href and not href.lower().startswith(("#", "mailto:", "tel:", "javascript:")):
                     full = urljoin(base or "", href)
                     p = urlparse(full)
-                    if p.scheme in ("http", "https") and not p.path.lower().endswith(_BINARY):
+                    if p.scheme in ("http", "https") and not p.path.lower().endswith(SKIPPED_FILES):
                         found.append(full)
             out.append(found)
         return pd.Series(out)
@@ -178,7 +208,10 @@ def docx_blocks(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
     def read(data: bytes) -> list[dict]:
-        body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(f"{w}body")
+        try:
+            body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(f"{w}body")
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):  # not such a file
+            return []
         text = lambda e: "".join(t.text or "" for t in e.iter(f"{w}t"))
         out, section = [], "Introduction"
         for p in body.findall(f"{w}p"):

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from corvath.operators.chunk import describe, plain_chunks
+from corvath.session import cut_lineage
 
 
 def stream_documents(spark: SparkSession, folder: str, schema: StructType, late: str = "1 day") -> DataFrame:
@@ -18,9 +19,18 @@ def stream_documents(spark: SparkSession, folder: str, schema: StructType, late:
 
 
 def ingest(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write documents and chunks of every batch in folders of its number: a batch that runs again replaces its own."""
+    """Write documents and chunks of every batch in folders of its number: a batch that runs again replaces its own.
+
+    What the watermark has let go of is compared with the documents of earlier batches.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        earlier = [f"{out}/documents/batch={k}" for k in range(number)]
+        if earlier:
+            known = spark.read.option("ignoreMissingFiles", "true").schema("sha256 string").parquet(*earlier).select("sha256").distinct()
+            batch = batch.join(known, "sha256", "left_anti")
+        batch = cut_lineage(batch)
         batch.write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
         describe(plain_chunks(batch, "id", "raw_content")).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
 
