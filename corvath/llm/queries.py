@@ -41,10 +41,18 @@ def p2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "ingested_documents").select(F.lit("document").alias("record_kind"), F.col("id").alias("record_id"), F.col("raw_content").alias("text"))
-    chunks = table(spark, sf_dir, "document_chunks").select(F.lit("chunk").alias("record_kind"), F.col("id").alias("record_id"), F.col("content").alias("text"))
-    records = documents.unionByName(chunks)
-    return encodings.wrongly_decoded(records, encodings.learn(records.select("text")))
+    """A document's source is its site, else the program that made it, else its kind; a chunk's that of its document."""
+    meta = F.col("doc_metadata")
+    documents = table(spark, sf_dir, "ingested_documents").withColumn("source", F.coalesce(meta["domain"], meta["producer"], F.col("source_type")))
+    of_document = documents.select(F.col("id").alias("document_id"), "source").where("document_id is not null").dropDuplicates(["document_id"])
+    few = of_document.count() <= 200_000  # some 20 MB; more of them are joined
+    chunks = table(spark, sf_dir, "document_chunks").join(F.broadcast(of_document) if few else of_document, "document_id", "left")
+    records = documents.select(F.lit("document").alias("record_kind"), F.col("id").alias("record_id"), F.col("raw_content").alias("text"), "source").unionByName(
+        chunks.select(F.lit("chunk").alias("record_kind"), F.col("id").alias("record_id"), F.col("content").alias("text"), "source")
+    )
+    runs = encodings.runs_by_source(records)
+    model = encodings.learn(runs)
+    return encodings.wrongly_decoded(records, model, encodings.ciphers(runs, model))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
