@@ -1,8 +1,8 @@
 """The main content of web pages: wrappers per host, inferred by aligning the token streams of its pages.
 
 A line's tokens are its masked forms (numbers; names; the prefix of a path), counted per host over all its pages. Lines
-that stand on a large enough share of a host's pages are the constant tokens of its wrapper; forms that are constant on
-one host are constant wherever they occur. Groups of a host's pages are aligned one after the other with the wrapper
+that stand on a large enough share of a host's pages are the constant tokens of its wrapper; so are, on hosts too small
+to tell, forms that are constant on most of the hosts that have them. Groups of a host's pages are aligned one after the other with the wrapper
 found so far: tokens that one side lacks become optional, what comes again becomes repeated, what differs becomes a text
 slot, and a constant that heads a run of short slots becomes the head of a list. Partial wrappers of a host are added up.
 Every page is aligned with the wrapper again, its title being a token too: a slot between two tokens that holds only
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -29,6 +29,8 @@ CONSTANT = ((5, 0.08), (4, 0.4))
 #: Pages of one group, on average: a host's pages are spread over groups of bounded size.
 GROUP_PAGES = 1_000
 LIST_SHARE = 0.5
+#: A form is constant wherever it is seen if it is so on two hosts, and on such a share of those that have it and can tell.
+GENERAL_SHARE = 0.5
 #: The share of its pages on which a slot of noise may hold a sentence.
 SENTENCE_SHARE = 0.05
 #: Tokens of a text slot, of the page's title, and of the page's start and end; what stands for any token.
@@ -131,12 +133,15 @@ def _tokens(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def constants(pages: DataFrame) -> DataFrame:
-    """host, token of the forms that are constant: on this host, or on another one and seen here."""
+    """host, token of the forms that are constant: on this host, or on most hosts and seen here."""
     counted = pages.select("host", "host_pages", "title", "text").mapInPandas(_tokens, "host string, host_pages bigint, token bigint").groupBy("host", "host_pages", "token").agg(F.count(F.lit(1)).alias("n"))
     (least, share), (least_small, share_small) = CONSTANT
     frequent = ((F.col("n") >= least) & (F.col("n") >= share * F.col("host_pages"))) | ((F.col("n") >= least_small) & (F.col("n") >= share_small * F.col("host_pages")))
     counted = cut_lineage(counted.withColumn("frequent", frequent))
-    return counted.select("host", "token").join(counted.where("frequent").select("token").distinct(), "token").select("host", "token")
+    can_tell = F.col("host_pages") >= least_small
+    general = counted.groupBy("token").agg(F.count_if("frequent").alias("constant_on"), F.count_if(can_tell).alias("seen_on")).where((F.col("constant_on") >= 2) & (F.col("constant_on") >= GENERAL_SHARE * F.col("seen_on")))
+    elsewhere = counted.where("not frequent").select("host", "token").join(general.select("token"), "token", "left_semi").select("host", "token")
+    return counted.where("frequent").select("host", "token").unionByName(elsewhere)
 
 
 class Page:
@@ -206,7 +211,7 @@ def slots_of(page: Page, title: str | None, wrapper: list[int]) -> Iterator[tupl
         yield left, EDGE, lines
 
 
-def _infer(pages: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
+def _infer(pages: pd.DataFrame, tokens: pd.DataFrame, aligned: Callable[[list[int], list[int]], list[int]]) -> pd.DataFrame:
     columns = ["host", "token", "place", "pages", "present", "again", "followed", "seen", "right"]
     if not len(pages):
         return pd.DataFrame([], columns=columns)
@@ -227,7 +232,7 @@ def _infer(pages: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
     wrapper: list[int] = []
     for stream, _ in sorted(streams.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
         if not set(stream) <= set(wrapper):
-            wrapper = align(wrapper, list(stream))
+            wrapper = aligned(wrapper, list(stream))
     host = pages["host"].iloc[0]
     rows = [(host, t, k / max(1, len(wrapper) - 1), len(pages), present[t], again[t], followed[t], seen[t], ANY) for k, t in enumerate(wrapper) if t != 1]
     slots, sentences, several = Counter(), Counter(), Counter()
@@ -251,14 +256,14 @@ def _spread(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumnRenamed("host", "of_host").join(parts, "of_host")
 
 
-def partial_wrappers(pages: DataFrame) -> DataFrame:
+def partial_wrappers(pages: DataFrame, aligned: Callable[[list[int], list[int]], list[int]] = align) -> DataFrame:
     """The wrapper of every group of a host's pages: a row per token, and one per text slot, which has a right token.
 
     Of a slot, again counts the pages on which it holds a sentence, followed those on which it holds several lines.
     """
     tokens = _spread(constants(pages), pages)
     own = pages.select("host", "part", "title", "text")
-    return own.groupBy("host", "part").cogroup(tokens.groupBy("of_host", "of_part")).applyInPandas(_infer, _WRAPPER)
+    return own.groupBy("host", "part").cogroup(tokens.groupBy("of_host", "of_part")).applyInPandas(lambda a, b: _infer(a, b, aligned), _WRAPPER)
 
 
 def noise_slots(partial: DataFrame, pages: DataFrame) -> DataFrame:
@@ -337,7 +342,7 @@ def _classify(pages: pd.DataFrame, wrapper: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"document_id": [d for d, _, _ in found], "noise": [n for _, n, _ in found], "article": article})
 
 
-def extract(documents: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+def extract(documents: DataFrame, sites: DataFrame, aligned: Callable[[list[int], list[int]], list[int]] = align) -> tuple[DataFrame, DataFrame]:
     """(document_id, noise, article) of every web document with text, and the wrappers of their hosts.
 
     noise: the numbers, from 1, of the non-blank lines that don't belong to the article. Empty texts have an empty
@@ -345,7 +350,7 @@ def extract(documents: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFram
     that holds a third of all pages is spread over groups of bounded size in every step.
     """
     pages = cut_lineage(pages_of(documents, sites))
-    partial = cut_lineage(partial_wrappers(pages))
+    partial = cut_lineage(partial_wrappers(pages, aligned))
     found = cut_lineage(wrappers(pages, partial))
     none = F.lit(None)
     known = found.select("host", "token", "place", "list_head", F.lit(ANY).cast("bigint").alias("right")).unionByName(
