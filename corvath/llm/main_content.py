@@ -1,11 +1,12 @@
 """The main content of web pages: wrappers per host, inferred by aligning the token streams of its pages.
 
 A line's tokens are its masked forms (numbers; names; the prefix of a path), counted per host over all its pages. Lines
-that stand on a large enough share of a host's pages are the constant tokens of its wrapper; so are, on hosts too small
-to tell, forms that are constant on most of the hosts that have them. Groups of a host's pages are aligned one after the other with the wrapper
+that stand on a large enough share of a host's pages may be the constant tokens of its wrapper; so may, on hosts too
+small to tell, forms that are constant on most of the hosts that have them. Groups of a host's pages are aligned one after the other with the wrapper
 found so far: tokens that one side lacks become optional, what comes again becomes repeated, what differs becomes a text
 slot, and a constant that heads a run of short slots becomes the head of a list. Partial wrappers of a host are added up.
-Every page is aligned with the wrapper again, its title being a token too: a slot between two tokens that holds only
+Every page is aligned with the wrapper again, its title being a token too: what is found at its place on enough pages is
+a token of the wrapper, and a slot between two tokens that holds only
 short lines on nearly all pages, and not what follows the title, is a slot of noise. What a page's lines match of the
 wrapper, the lists under its heads and its slots of noise aren't the article.
 """
@@ -29,6 +30,8 @@ CONSTANT = ((5, 0.08), (4, 0.4))
 #: Pages of one group, on average: a host's pages are spread over groups of bounded size.
 GROUP_PAGES = 1_000
 LIST_SHARE = 0.5
+#: A form is a token of the wrapper where the alignment finds it at its place on such a share of the pages that have it.
+PLACED_SHARE = 0.25
 #: A form is constant wherever it is seen if it is so on two hosts, and on such a share of those that have it and can tell.
 GENERAL_SHARE = 0.5
 #: The share of its pages on which a slot of noise may hold a sentence.
@@ -187,18 +190,23 @@ def align(wrapper: list[int], stream: list[int]) -> list[int]:
     return [t for k, t in enumerate(out) if t != 1 or k == 0 or out[k - 1] != 1]
 
 
-def slots_of(page: Page, title: str | None, wrapper: list[int]) -> Iterator[tuple[int, int, list[int]]]:
-    """The page's text slots as left token, right token and lines: its tokens aligned with the wrapper's order.
-
-    A constant that the alignment leaves over, as it stands against the wrapper's order, parts no slots unless it comes
-    again at its place.
-    """
+def parsed(page: Page, title: str | None, wrapper: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
+    """The page's tokens and lines in their order, and which of them the alignment finds at their place in the wrapper."""
     own = _same(title)
     stream = [(TITLE if own and _same(page.lines[i]) == own else page.token[i], i) for b in page.blocks for i in b]
     fixed = [k for k, (t, _) in enumerate(stream) if t and t != TITLE]
     at: set[int] = set()
     for a, b, n in SequenceMatcher(None, [t for t in wrapper if t != SLOT], [stream[k][0] for k in fixed], autojunk=False).get_matching_blocks():
         at.update(fixed[b : b + n])
+    return stream, at
+
+
+def slots_of(stream: list[tuple[int, int]], at: set[int]) -> Iterator[tuple[int, int, list[int]]]:
+    """The text slots of a parsed page as left token, right token and lines.
+
+    A constant that the alignment leaves over, as it stands against the wrapper's order, parts no slots unless it comes
+    again at its place.
+    """
     left, lines = EDGE, []
     for k, (t, i) in enumerate(stream):
         if t == TITLE or k in at:
@@ -212,7 +220,7 @@ def slots_of(page: Page, title: str | None, wrapper: list[int]) -> Iterator[tupl
 
 
 def _infer(pages: pd.DataFrame, tokens: pd.DataFrame, aligned: Callable[[list[int], list[int]], list[int]]) -> pd.DataFrame:
-    columns = ["host", "token", "place", "pages", "present", "again", "followed", "seen", "right"]
+    columns = ["host", "token", "place", "pages", "present", "placed", "again", "followed", "seen", "right"]
     if not len(pages):
         return pd.DataFrame([], columns=columns)
     known = set(tokens["token"].tolist())
@@ -234,20 +242,22 @@ def _infer(pages: pd.DataFrame, tokens: pd.DataFrame, aligned: Callable[[list[in
         if not set(stream) <= set(wrapper):
             wrapper = aligned(wrapper, list(stream))
     host = pages["host"].iloc[0]
-    rows = [(host, t, k / max(1, len(wrapper) - 1), len(pages), present[t], again[t], followed[t], seen[t], ANY) for k, t in enumerate(wrapper) if t != 1]
-    slots, sentences, several = Counter(), Counter(), Counter()
+    slots, sentences, several, placed = Counter(), Counter(), Counter(), Counter()
     for page, title in zip(kept, pages["title"]):
         own: dict[tuple[int, int], list[int]] = {}
-        for left, right, lines in slots_of(page, title, wrapper):
+        stream, at = parsed(page, title, wrapper)
+        placed.update({stream[k][0] for k in at})
+        for left, right, lines in slots_of(stream, at):
             own.setdefault((left, right), []).extend(lines)
         slots.update(own.keys())
         sentences.update(k for k, lines in own.items() if any(not is_short(page.lines[i]) for i in lines))
         several.update(k for k, lines in own.items() if len(lines) > 1 or k[1] == TITLE)
-    rows += [(host, left, 0.0, len(pages), n, sentences[left, right], several[left, right], n, right) for (left, right), n in slots.items() if left != TITLE]
+    rows = [(host, t, k / max(1, len(wrapper) - 1), len(pages), present[t], placed[t], again[t], followed[t], seen[t], ANY) for k, t in enumerate(wrapper) if t != 1]
+    rows += [(host, left, 0.0, len(pages), n, n, sentences[left, right], several[left, right], n, right) for (left, right), n in slots.items() if left != TITLE]
     return pd.DataFrame(rows, columns=columns)
 
 
-_WRAPPER = "host string, token bigint, place double, pages bigint, present bigint, again bigint, followed bigint, seen bigint, right bigint"
+_WRAPPER = "host string, token bigint, place double, pages bigint, present bigint, placed bigint, again bigint, followed bigint, seen bigint, right bigint"
 
 
 def _spread(rows: DataFrame, pages: DataFrame) -> DataFrame:
@@ -281,10 +291,13 @@ def noise_slots(partial: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame, partial: DataFrame | None = None) -> DataFrame:
-    """host, token, place, pages, present, optional, repeated, list_head: the wrapper of every host, by place."""
+    """host, token, place, pages, present, optional, repeated, list_head: the wrapper of every host, by place.
+
+    A form may be frequent and still be no token: what the alignment seldom finds at its place is text that comes again.
+    """
     partial = partial_wrappers(pages) if partial is None else partial
-    whole = partial.where(F.col("right") == ANY).groupBy("host", "token").agg(F.avg("place").alias("place"), *[F.sum(c).alias(c) for c in ("pages", "present", "again", "followed", "seen")])
-    return whole.select(
+    whole = partial.where(F.col("right") == ANY).groupBy("host", "token").agg(F.avg("place").alias("place"), *[F.sum(c).alias(c) for c in ("pages", "present", "placed", "again", "followed", "seen")])
+    return whole.where(F.col("placed") >= PLACED_SHARE * F.col("present")).select(
         "host", "token", F.round("place", 4).alias("place"), "pages", "present", (F.col("present") < F.col("pages")).alias("optional"), (F.col("again") > 0).alias("repeated"),
         (F.col("followed") >= LIST_SHARE * F.col("seen")).alias("list_head"),
     )
@@ -320,7 +333,7 @@ def noise_lines(text: str, title: str | None, known: set[int], heads: set[int],
             elif not k and len(b) > 2 and len(hit) == len(b) - 1:
                 noise.add(i)
     begun = any(own and _same(line) == own for line in lines)  # else the title may stand in any slot before the text
-    for left, right, slot in slots_of(page, title, wrapper) if slots else ():
+    for left, right, slot in slots_of(*parsed(page, title, wrapper)) if slots else ():
         begun = begun or any(not is_short(lines[i]) for i in slot)
         if begun and (len(slot) > 1 or right == TITLE) and ((left, right) in slots or (left, ANY) in slots) and all(is_short(lines[i]) for i in slot):
             noise.update(slot)
