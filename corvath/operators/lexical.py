@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvath.functions.text import STOPWORDS, index_terms, occurrences, query_terms
+from corvath.session import cut_lineage
 
 K1, B = 1.2, 0.75
 
@@ -53,22 +54,30 @@ def bm25(indexed: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # the one row of statistics stands beside every term's frequency
     both = df.withColumn("one", F.lit(1)).join(F.broadcast(stats.select(F.lit(1).alias("one"), F.col("n").cast("double").alias("n"), F.coalesce(F.col("avgdl").cast("double"), F.lit(1.0)).alias("avgdl"))), "one")
-    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    weight = F.col("tf") / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
     # scores per posting come before the queries, so a term that many queries share is weighed once
-    weighed = wanted.join(both, "term").select("term", "chunk_id", (idf * weight).alias("w"))
+    weighed = wanted.join(both, "term").select("term", "chunk_id", _weight(*map(F.col, ("tf", "dl", "df", "n", "avgdl"))).alias("w"))
     return weighed.join(queries, "term").groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
 
 
+def _weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
+    idf = F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
+    return idf * (tf / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / avgdl)))
+
+
 def bm25_multifield(hits: DataFrame, query: str, boosts: dict[str, float]) -> DataFrame:
-    """chunk_id, score (4 places): for one query, the best of the fields' boosted scores."""
+    """chunk_id, score (4 places): for one query, the best of the fields' boosted scores.
+
+    The texts are read and cut into words once: what stays of them are their lengths and the query's terms.
+    """
     terms = [t for t in query_terms(query, distinct=True) if t not in STOPWORDS]
-    queries = hits.sparkSession.createDataFrame([(0, t) for t in terms], "query_id int, term string")
-    found = None
-    for field, boost in boosts.items():
-        own = bm25(postings(hits, field, terms), lengths(hits, field), queries).select("chunk_id", (F.col("score") * F.lit(float(boost))).alias("s"))
-        found = own if found is None else found.unionByName(own)
-    return found.groupBy("chunk_id").agg(F.round(F.max("s"), 4).alias("score"))
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(b)).alias("boost"), index_terms(F.col(f)).alias("terms")) for f, b in boosts.items()])
+    each = hits.select("chunk_id", F.explode(fields).alias("x")).select("chunk_id", "x.field", "x.boost", F.size("x.terms").alias("dl"), F.filter("x.terms", lambda t: t.isin(terms)).alias("terms"))
+    rows = cut_lineage(each.where("dl > 0"))
+    stats = rows.groupBy("field").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = rows.select("chunk_id", "field", "boost", "dl", F.explode("terms").alias("term")).groupBy("chunk_id", "field", "boost", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "field")
+    scored = tf.join(df, ["field", "term"]).groupBy("chunk_id", "field", "boost").agg(F.sum(_weight(*map(F.col, ("tf", "dl", "df", "n", "avgdl")))).alias("score"))
+    return scored.groupBy("chunk_id").agg(F.round(F.max(F.col("score") * F.col("boost")), 4).alias("score"))
 
 
 def allowed_edits(term: str) -> int:

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of one block: a block's vectors are sent to all tasks (4096 of 384 doubles are 12 MB).
-QUERY_BLOCK = 4096
+#: Queries of one block (4096 of 384 doubles are 12 MB), and vectors of one.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 16_384
 HASH_DIMENSIONS = 384
 MEMO_GRAMS = 200_000
 
@@ -37,49 +37,70 @@ def cosine_search(vectors: DataFrame, query: list[float], limit: int, id_col: st
     return vectors.withColumn("score", F.round(value, 4)).where("score is not null").orderBy(F.col("score").desc(), id_col).limit(limit)
 
 
+def _nearest(ids: list, vectors: list, names: list, q: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every query (a row of unit length), the best ids and their cosines among some vectors; ties go by id."""
+    pairs = [(i, v) for i, v in zip(ids, vectors) if v is not None and len(v) == q.shape[1]]
+    if not pairs or not len(names):
+        return np.zeros((len(names), 0), dtype=object), np.zeros((len(names), 0))
+    x = np.array([v for _, v in pairs], dtype=np.float64)
+    score = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 10)
+    own = np.array([i for i, _ in pairs], dtype=object)
+    return _best(np.broadcast_to(own, score.shape), score, limit)
+
+
+def _best(ids: np.ndarray, score: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    text = ids.size and isinstance(ids.flat[0], str)
+    keep = np.lexsort((ids.astype(str) if text else ids.astype(np.int64), -score), axis=1)[:, :limit]
+    return np.take_along_axis(ids, keep, 1), np.take_along_axis(score, keep, 1)
+
+
+def _unit(rows: list) -> np.ndarray:
+    matrix = np.array(rows, dtype=np.float64)
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+
 def batch_search(vectors: DataFrame, queries: DataFrame, limit: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, id_col, score (4 places), rank: the nearest rows of every query, exactly.
 
-    The queries go over all rows in blocks of bounded size: each task keeps the best of its rows for every query of the
-    block, and the ranks are taken over these. Ties go by id. Rows without a vector, or of another length, aren't found.
+    Up to QUERY_BLOCK queries are sent to all tasks, and no vector moves. More of them are cut into blocks, as are the
+    vectors, and each block of the one meets each block of the other in a task of bounded size. A task keeps the best of
+    its rows for every query, and the ranks are taken over these. Ties go by id. Rows without a vector, or of another
+    length, aren't found.
     """
     spark = vectors.sparkSession
-    numbered = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q")).where("q is not null")
-    blocks = max(1, -(-numbered.count() // QUERY_BLOCK))
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q")).where("q is not null")
     id_type = vectors.schema[id_col].dataType.simpleString()
-    parts = []
-    for b in range(blocks):
-        rows = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if blocks > 1 else numbered.collect()
-        if not rows:
-            continue
-        matrix = np.array([r["q"] for r in rows], dtype=np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], matrix))
-
-        def nearest(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    schema = f"query_id {id_type}, `{id_col}` {id_type}, s double"
+    n_queries = asked.count()
+    if n_queries == 0:
+        return spark.createDataFrame([], f"query_id {id_type}, `{id_col}` {id_type}, score double, rank int")
+    if n_queries <= QUERY_BLOCK:
+        rows = asked.collect()
+        sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], _unit([r["q"] for r in rows])))
+
+        def of_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
-            best = np.full((len(names), 0), 0.0)
-            ids = np.zeros((len(names), 0), dtype=object)
+            ids, best = np.zeros((len(names), 0), dtype=object), np.zeros((len(names), 0))
             for batch in batches:
-                pairs = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None and len(v) == q.shape[1]]
-                if not pairs:
-                    continue
-                own = np.array([i for i, _ in pairs], dtype=object)
-                x = np.array([v for _, v in pairs], dtype=np.float64)
-                score = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 10)
-                best = np.hstack([best, score])
-                ids = np.hstack([ids, np.broadcast_to(own, score.shape)])
-                keep = np.lexsort((ids.astype(str) if ids.dtype == object and len(own) and isinstance(own[0], str) else ids.astype(np.int64), -best), axis=1)[:, :limit]
-                best, ids = np.take_along_axis(best, keep, 1), np.take_along_axis(ids, keep, 1)
-            k = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n in names for _ in range(k)]), pa.array(ids.ravel().tolist()), pa.array(best.ravel())], names=["query_id", id_col, "s"])
-
-        parts.append(vectors.select(id_col, vector_col).mapInArrow(nearest, f"query_id {id_type}, `{id_col}` {id_type}, s double"))
-    if not parts:
-        return spark.createDataFrame([], f"query_id {id_type}, `{id_col}` {id_type}, score double, rank int")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+                own, score = _nearest(batch.column(0).to_pylist(), batch.column(1).to_pylist(), names, q, limit)
+                ids, best = np.hstack([ids, own]), np.hstack([best, score])
+                if ids.shape[1] > limit:
+                    ids, best = _best(ids, best, limit)
+            yield pa.RecordBatch.from_arrays([pa.array([n for n in names for _ in range(best.shape[1])]), pa.array(ids.ravel().tolist()), pa.array(best.ravel())], names=["query_id", id_col, "s"])
+
+        every = vectors.select(id_col, vector_col).mapInArrow(of_task, schema)
+    else:
+        a, b = -(-vectors.count() // VECTOR_BLOCK) or 1, -(-n_queries // QUERY_BLOCK)
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(a)).cast("int").alias("vb"), numbers(b).alias("qb"))
+        right = asked.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(b)).cast("int").alias("qb"), numbers(a).alias("vb"))
+
+        def of_blocks(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            names = y["query_id"].tolist()
+            ids, best = _nearest(x["id"].tolist(), x["v"].tolist(), names, _unit(y["q"].tolist()), limit) if names else (np.zeros((0, 0)), np.zeros((0, 0)))
+            return pd.DataFrame({"query_id": [n for n in names for _ in range(best.shape[1])], id_col: ids.ravel().tolist(), "s": best.ravel()})
+
+        every = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(of_blocks, schema)
     by_query = Window.partitionBy("query_id").orderBy(F.col("s").desc(), id_col)
     return every.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= limit).select("query_id", id_col, F.round("s", 4).alias("score"), "rank")
 

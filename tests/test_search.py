@@ -87,7 +87,7 @@ def test_fuzzy(spark):
     assert ("ab", "ba") not in got and ("index", "inxed") not in got and ("index", "indexes") not in got
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)] + [(60, None), (61, [1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
@@ -97,6 +97,10 @@ def test_vectors(spark):
     for q in (0, 20, 40):
         expected = np.argsort(-(m @ m[q]), kind="stable")[:5]
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == expected.tolist()
+    few, many = df.where("vec_id % 7 = 0 and vec_id < 60"), [tuple(r) for r in vector.batch_search(df, df.where("vec_id % 7 = 0 and vec_id < 60"), 5).collect()]
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(vector, "VECTOR_BLOCK", 25)
+    assert sorted(many) == sorted(tuple(r) for r in vector.batch_search(df, few, 5).collect())  # blocks of queries and of vectors
     near = vector.cosine_search(df.where("vec_id < 60"), rows[20][1], 3).collect()
     assert near[0].vec_id == 20 and near[0].score == 1.0
     assert vector.batch_search(df, df.where("vec_id = 60"), 5).count() == 0
