@@ -71,3 +71,12 @@ def test_limits_are_checked(spark):
         splitting.limits_of(table, "f")
     assert splitting.limits_of(table, "other") == []
     assert splitting.pieces(spark.createDataFrame([("a", "t" * 50)], "id string, text string"), "id", "text", []).count() == 0
+
+
+def test_halos_decide_at_the_edges_of_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([("a", make_text(12, 900))], "id string, text string")
+    places = lambda n: sorted((r.limit_name, r.char_start, r.char_end, r.boundary) for r in splitting.pieces(df, "id", "text", LIMITS, n).collect())
+    whole = places(65536)
+    assert places(32) == whole
+    monkeypatch.setattr(splitting, "HALO", 0)
+    assert places(32) != whole
