@@ -16,7 +16,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvath.session import cut_lineage
@@ -24,13 +24,15 @@ from corvath.session import cut_lineage
 THRESHOLD = 0.8
 SHINGLE = 5
 TABLES = 8
-#: Words of a record: a pair at a similarity of 0.6 meets at none of their anchors in 1 of 2,290 cases (8 words: 1 of 174).
-RECORD_TABLES = 12
+#: Words of a record: a pair at a similarity of 0.6 meets at none of their anchors in 1 of 30,000 cases (8 words: 1 of 174).
+RECORD_TABLES = 16
 _SYMBOLS = 4
 #: Min-hashes of the sketch, two bits each: 64 of them fill two bigints.
 _SKETCH = 64
-#: Rows of one anchor that are joined by the anchor alone; larger ones are salted over several tasks.
+#: Rows of one anchor, or copies of one text, that are joined in one task; larger groups are salted over several.
 SALT_ROWS = 512
+#: Up to so many ids, digests or keys (some 10 to 50 bytes each) are broadcast; more of them are joined.
+BROADCAST_ROWS = 200_000
 MEMO_WORDS = 200_000
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"m{i}") | 1 for i in range(_SKETCH)], dtype=np.uint64)
 _SEEDS = np.array([xxhash.xxh64_intdigest(f"s{i}") for i in range(_SKETCH)], dtype=np.uint64)
@@ -146,24 +148,34 @@ def _verify(size: int, threshold: float):
     return rows
 
 
-def _meet(anchors: DataFrame, mismatches: int) -> DataFrame:
-    """num_x, num_y of the fingerprints that meet at an anchor and whose sketches agree well enough."""
-    by_key = Window.partitionBy("key")
-    met = cut_lineage(anchors.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1"))
+def _meet(anchors: DataFrame, sketches: DataFrame, mismatches: int) -> DataFrame:
+    """num_x, num_y of the fingerprints that meet at an anchor and whose sketches agree well enough.
+
+    anchors: key, num; sketches: num, s1, s2. Keys are counted before anything else moves, by partial counts; most have
+    one row and drop out.
+    """
+    counted = cut_lineage(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = anchors.join(_few(counted), "key")
+    met = cut_lineage(met.join(sketches, "num").select("key", "num", "n", "s1", "s2"))
 
     def differ(c: str):
         return F.expr(f"bit_count(((x.{c} ^ y.{c}) | shiftrightunsigned(x.{c} ^ y.{c}, 1)) & 6148914691236517205L)")  # 0101... in binary
 
     near = (F.col("x.num") < F.col("y.num")) & (differ("s1") + differ("s2") <= mismatches)
-    small, large = met.where(F.col("n") <= SALT_ROWS), met.where(F.col("n") > SALT_ROWS)
-    found = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & near)
-    # A hot anchor's rows are spread by a salt on one side and met by all salts on the other.
-    salts = F.ceil(F.col("n") / F.lit(SALT_ROWS)).cast("int")
-    left = large.withColumn("salt", F.pmod(F.xxhash64("num"), salts).cast("int"))
-    right = large.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    hot = left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & near)
-    pick = [F.col("x.num").alias("num_x"), F.col("y.num").alias("num_y")]
-    return found.select(pick).unionByName(hot.select(pick)).distinct()
+    left, right = salted(met, "n", "num")
+    found = left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & near)
+    return found.select(F.col("x.num").alias("num_x"), F.col("y.num").alias("num_y")).distinct()
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def salted(rows: DataFrame, n: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a join of groups with themselves: a large group (n rows) is spread by a salt on one side and met by
+    all salts on the other; a small one has the one salt 0."""
+    salts = F.ceil(F.col(n) / F.lit(SALT_ROWS)).cast("int")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")), rows.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
 
 
 def near_duplicates(records: DataFrame, id_col: str = "id", text_col: str = "raw_content", threshold: float = THRESHOLD, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -175,15 +187,18 @@ def near_duplicates(records: DataFrame, id_col: str = "id", text_col: str = "raw
     """
     texts = records.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     prints = cut_lineage(texts.mapInArrow(_fingerprints(shingle), "id string, digest binary, keys array<bigint>, s1 bigint, s2 bigint"))
-    classes = prints.groupBy("digest").agg(F.min(F.struct("id", "keys", "s1", "s2")).alias("r")).select("digest", "r.*")
-    members = prints.select("id", "digest").distinct().join(classes.select("digest", F.col("id").alias("rep")), "digest").select("id", "rep")
-
-    anchors = classes.select(F.explode("keys").alias("key"), F.xxhash64("id").alias("num"), "s1", "s2")
-    candidates = cut_lineage(_meet(anchors, most_mismatches(threshold)))
+    # Copies first, by digests alone: only they are left out of what follows, so that no fingerprint has to move for it.
+    ids = prints.select("id", "digest").distinct()
+    copied = cut_lineage(ids.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "rep"))
+    members = cut_lineage(ids.join(_few(copied), "digest", "left").select("id", F.coalesce("rep", "id").alias("rep")))
+    classes = prints.join(_few(members.where("id <> rep").select("id")), "id", "left_anti")
+
+    num = F.xxhash64("id").alias("num")
+    candidates = cut_lineage(_meet(classes.select(F.explode("keys").alias("key"), num), classes.select(num, "s1", "s2"), most_mismatches(threshold)))
     needed = candidates.select(F.col("num_x").alias("num")).union(candidates.select("num_y")).distinct()
-    reps = classes.select("id", F.xxhash64("id").alias("num")).join(needed, "num")
+    reps = cut_lineage(classes.select("id", F.xxhash64("id").alias("num")).join(needed, "num"))
     # Only the texts that a candidate needs go on; both sides of the pairs read them from one written copy.
-    held = cut_lineage(texts.dropDuplicates(["id"]).join(reps, "id").select("num", "id", "text"))
+    held = cut_lineage(texts.join(_few(reps), "id").dropDuplicates(["id"]).select("num", "id", "text"))
     side = [held.select(F.col("num").alias(f"num_{s}"), F.col("id").alias(s), F.col("text").alias(f"{s}_text")) for s in "xy"]
     pairs = candidates.join(side[0], "num_x").join(side[1], "num_y").select("x", "y", "x_text", "y_text")
     checked = cut_lineage(pairs.mapInArrow(_verify(shingle, threshold), "x string, y string, similarity double"))
@@ -193,7 +208,9 @@ def near_duplicates(records: DataFrame, id_col: str = "id", text_col: str = "raw
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """id_a, id_b of every similar pair of records, smaller id first: links and classes expanded."""
-    within = members.alias("a").join(members.alias("b"), (F.col("a.rep") == F.col("b.rep")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    left, right = salted(members.join(sizes, "rep"), "n", "id")
+    within = left.alias("a").join(right.alias("b"), (F.col("a.rep") == F.col("b.rep")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
     of = [members.select(F.col("rep").alias(s), F.col("id").alias(f"{s}_id")) for s in "xy"]
     across = links.join(of[0], "x").join(of[1], "y").select(F.least("x_id", "y_id").alias("id_a"), F.greatest("x_id", "y_id").alias("id_b"))
     return within.unionByName(across)

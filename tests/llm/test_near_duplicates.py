@@ -33,8 +33,9 @@ def test_all_pairs_of_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "id string, raw_content string, keys int")
     expected = brute(docs, 0.6, 3)
     assert ("eq", "sp") in expected
-    for salt in (512, 3):
+    for salt, rows in ((512, 1000), (3, 0)):  # salted or not, broadcasts or joins
         monkeypatch.setattr(nd, "SALT_ROWS", salt)
+        monkeypatch.setattr(nd, "BROADCAST_ROWS", rows)
         members, links = nd.near_duplicates(df, threshold=0.6, shingle=3)
         got = [tuple(r) for r in nd.all_pairs(members, links).collect()]
         assert len(got) == len(set(got)) and set(got) <= expected
