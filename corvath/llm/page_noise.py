@@ -17,7 +17,6 @@ from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import cache
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
