@@ -48,6 +48,7 @@ def test_code_windows(spark):
     got = [(r.section, r.line_start, r.line_end) for r in parse.code_blocks(df, "id", "t", "n").orderBy("line_start").collect()]
     assert got == [("m.py:1-40", 1, 40), ("m.py:31-65", 31, 65), ("m.py:61-65", 61, 65)]
     assert spark.range(1).select(parse.language_of(F.lit("a/b.RS")).alias("l")).first().l == "rust"
+    assert [spark.range(1).select(parse.language_of(F.lit(n)).alias("l")).first().l for n in ("x.ps1", "x.toml", "x")] == ["powershell", "code", "code"]
 
 
 HTML = "<html><head><title>Search  notes</title><script>alert('p')</script></head><body><h1>Top</h1><p>One <b>two<p>three</p><ul><li>x</ul><a href='/a?b=1#c'>l</a><a href='mailto:x@y.z'>m</a><a href='pic.PNG'>i</a><a href='HTTPS://Other.org/p'>o</a></body></html>"
