@@ -26,9 +26,8 @@ def ingest(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        earlier = [f"{out}/documents/batch={k}" for k in range(number)]
-        if earlier:
-            known = spark.read.option("ignoreMissingFiles", "true").schema("sha256 string").parquet(*earlier).select("sha256").distinct()
+        if number:  # batches are partitions: only the earlier ones' hashes are read
+            known = spark.read.parquet(f"{out}/documents").where(F.col("batch") < number).select("sha256").distinct()
             batch = batch.join(known, "sha256", "left_anti")
         batch = cut_lineage(batch)
         batch.write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
