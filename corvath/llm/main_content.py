@@ -32,7 +32,7 @@ GROUP_PAGES = 1_000
 LIST_SHARE = 0.5
 #: A form is a token of the wrapper where the alignment finds it at its place on such a share of the pages that have it.
 PLACED_SHARE = 0.25
-#: A form is constant wherever it is seen if it is so on two hosts, and on such a share of those that have it and can tell.
+#: A form is constant wherever it is seen if it is so on such a share of the hosts that have it and can tell: the one, or two at least.
 GENERAL_SHARE = 0.5
 #: The share of its pages on which a slot of noise may hold a sentence.
 SENTENCE_SHARE = 0.05
@@ -142,7 +142,7 @@ def constants(pages: DataFrame) -> DataFrame:
     frequent = ((F.col("n") >= least) & (F.col("n") >= share * F.col("host_pages"))) | ((F.col("n") >= least_small) & (F.col("n") >= share_small * F.col("host_pages")))
     counted = cut_lineage(counted.withColumn("frequent", frequent))
     can_tell = F.col("host_pages") >= least_small
-    general = counted.groupBy("token").agg(F.count_if("frequent").alias("constant_on"), F.count_if(can_tell).alias("seen_on")).where((F.col("constant_on") >= 2) & (F.col("constant_on") >= GENERAL_SHARE * F.col("seen_on")))
+    general = counted.groupBy("token").agg(F.count_if("frequent").alias("constant_on"), F.count_if(can_tell).alias("seen_on")).where("constant_on >= 2 or constant_on = 1 and seen_on = 1").where(F.col("constant_on") >= GENERAL_SHARE * F.col("seen_on"))
     elsewhere = counted.where("not frequent").select("host", "token").join(general.select("token"), "token", "left_semi").select("host", "token")
     return counted.where("frequent").select("host", "token").unionByName(elsewhere)
 
