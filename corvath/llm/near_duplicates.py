@@ -11,15 +11,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import partial
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvath.session import cut_lineage
+from corvath import session
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -27,18 +28,23 @@ TABLES = 8
 #: Words of a record: a pair at a similarity of 0.6 meets at none of their anchors in 1 of 30,000 cases (8 words: 1 of 174).
 RECORD_TABLES = 16
 _SYMBOLS = 4
-#: Min-hashes of the sketch, two bits each: 64 of them fill two bigints.
-_SKETCH = 64
+_MINS = RECORD_TABLES * _SYMBOLS
+#: Bins of the sketch, two bits each: 256 of them fill eight bigints, four for each bit.
+_BINS = 256
+_SKETCH = [f"s{i}" for i in range(_BINS // 32)]
 #: Rows of one anchor, or copies of one text, that are joined in one task; larger groups are salted over several.
 SALT_ROWS = 512
 #: Up to so many ids, digests or keys (some 10 to 50 bytes each) are broadcast; more of them are joined.
 BROADCAST_ROWS = 200_000
 MEMO_WORDS = 200_000
-_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"m{i}") | 1 for i in range(_SKETCH)], dtype=np.uint64)
-_SEEDS = np.array([xxhash.xxh64_intdigest(f"s{i}") for i in range(_SKETCH)], dtype=np.uint64)
+_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"m{i}") | 1 for i in range(_MINS)], dtype=np.uint64)
+_SEEDS = np.array([xxhash.xxh64_intdigest(f"s{i}") for i in range(_MINS)], dtype=np.uint64)
 _ODD = [np.uint64(xxhash.xxh64_intdigest(f"w{i}") | 1) for i in range(16)]
 _BLANK = re.compile(r"[ \t\r\n]+")
 
+#: Each step is written and its shuffles are removed, so that disk holds one step's shuffles at a time.
+cut_lineage = partial(session.cut_lineage, drop_shuffles=True)
+
 
 def words_of(text: str) -> list[str]:
     return [w for w in _BLANK.split(text.lower()) if w]
@@ -67,7 +73,7 @@ def shingle_hashes(words: list[str], size: int) -> np.ndarray:
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(_SKETCH, np.uint64((1 << 64) - 1))
+    least = np.full(_MINS, np.uint64((1 << 64) - 1))
     for at in range(0, len(hashes), 4096):
         least = np.minimum(least, ((hashes[at : at + 4096, None] ^ _SEEDS) * _MULTIPLIERS).min(axis=0))
     return least
@@ -88,36 +94,51 @@ def anchors_of(mins: np.ndarray, tables: int = TABLES) -> np.ndarray:
     return out.ravel()
 
 
-def sketch_of(mins: np.ndarray) -> tuple[int, int]:
-    two = (mins >> np.uint64(40)) & np.uint64(3)
-    half = _SKETCH // 2
-    shifts = np.arange(half, dtype=np.uint64) * np.uint64(2)
-    return tuple(int(np.bitwise_or.reduce(two[k : k + half] << shifts).astype(np.int64)) for k in (0, half))
+def sketch_of(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which bins are filled, a bit of the least of the ascending hashes in each, and the number of filled bins."""
+    bins, first = np.unique(hashes & np.uint64(_BINS - 1), return_index=True)
+    bits = np.zeros((2, _BINS), dtype=np.uint64)
+    at = bins.astype(np.int64)
+    bits[0, at] = 1
+    bits[1, at] = (hashes[first] >> np.uint64(8)) & np.uint64(1)
+    return np.bitwise_or.reduce(bits.reshape(-1, 64) << np.arange(64, dtype=np.uint64), axis=1).view(np.int64), len(bins)
+
 
+def may_be_near(threshold: float) -> Column:
+    """Whether the sketches of x and y leave room for a similarity of the threshold: sizes of sets allow it, and no fewer
+    bins are equal than expected at the threshold less 5 standard deviations.
 
-def most_mismatches(threshold: float) -> int:
-    """Sketch places that may differ: the expected number at the threshold and 5 standard deviations more."""
-    p = (1 - threshold) * 0.75
-    return int(_SKETCH * p + 5 * (_SKETCH * p * (1 - p)) ** 0.5)
+    Of the u bins that either fills, a share as large as the similarity has one least shingle for both; where both are
+    filled (b bins), different ones are equal in 1 of 2 cases. Shingles are drawn into bins without being put back, hence
+    the factor (f - u) / (f - 1): the bins of a small set hold nearly all of it, and the estimate is nearly exact.
+    """
+    half = len(_SKETCH) // 2
+    filled = [f"x.{p} & y.{p}" for p in _SKETCH[:half]]
+    b = "(" + " + ".join(f"bit_count({p})" for p in filled) + ")"
+    equal = " + ".join(f"bit_count({p} & ~(x.{s} ^ y.{s}))" for p, s in zip(filled, _SKETCH[half:]))
+    t, u, f = f"{threshold}D", f"(x.filled + y.filled - {b})", f"((x.size + y.size) / {1 + threshold}D)"
+    variance = f"{u} * {t} * (1 - {t}) * least(1D, greatest(0D, ({f} - {u}) / greatest(1D, {f} - 1))) / 4 + greatest(0D, {b} - {t} * {u}) / 4"
+    return F.expr(f"least(x.size, y.size) >= {t} * greatest(x.size, y.size) - 1e-6D and {equal} + 1 >= ({t} * {u} + {b}) / 2 - 5 * sqrt({variance})")
 
 
 def _fingerprints(size: int):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests, keys, s1, s2 = [], [], [], [], []
+            ids, digests, keys, sketches, sizes, filled = [], [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(text.as_py())
                 if len(words) < size:
                     continue
-                mins = min_hashes(shingle_hashes(words, size))
-                a, b = sketch_of(mins)
-                ids.append(i), s1.append(a), s2.append(b), keys.append(anchors_of(mins, RECORD_TABLES).view(np.int64))
+                hashes = shingle_hashes(words, size)
+                sketch, n = sketch_of(hashes)
+                ids.append(i), sketches.append(sketch), sizes.append(len(hashes)), filled.append(n), keys.append(anchors_of(min_hashes(hashes), RECORD_TABLES).view(np.int64))
                 digests.append(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             offsets = np.arange(0, len(flat) + 1, RECORD_TABLES * _SYMBOLS, dtype=np.int32)
+            places = np.array(sketches, dtype=np.int64).reshape(-1, len(_SKETCH))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())],
-                names=["id", "digest", "keys", "s1", "s2"],
+                [pa.array(ids, pa.string()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes, pa.int32()), pa.array(filled, pa.int32()), *(pa.array(np.ascontiguousarray(p)) for p in places.T)],
+                names=["id", "digest", "keys", "size", "filled", *_SKETCH],
             )
 
     return rows
@@ -148,20 +169,17 @@ def _verify(size: int, threshold: float):
     return rows
 
 
-def _meet(anchors: DataFrame, sketches: DataFrame, mismatches: int) -> DataFrame:
+def _meet(anchors: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """num_x, num_y of the fingerprints that meet at an anchor and whose sketches agree well enough.
 
-    anchors: key, num; sketches: num, s1, s2. Keys are counted before anything else moves, by partial counts; most have
-    one row and drop out.
+    anchors: key, num; sketches: num, size, filled and the sketch. Keys are counted before anything else moves, by partial
+    counts; most have one row and drop out. What pages of one site share makes pairs that meet grow with the square of
+    its pages, so the sketches decide within the join, before a pair is written or a text moves.
     """
     counted = cut_lineage(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = anchors.join(_few(counted), "key")
-    met = cut_lineage(met.join(sketches, "num").select("key", "num", "n", "s1", "s2"))
-
-    def differ(c: str):
-        return F.expr(f"bit_count(((x.{c} ^ y.{c}) | shiftrightunsigned(x.{c} ^ y.{c}, 1)) & 6148914691236517205L)")  # 0101... in binary
-
-    near = (F.col("x.num") < F.col("y.num")) & (differ("s1") + differ("s2") <= mismatches)
+    met = cut_lineage(met.join(sketches, "num").select("key", "num", "n", "size", "filled", *_SKETCH))
+    near = (F.col("x.num") < F.col("y.num")) & may_be_near(threshold)
     left, right = salted(met, "n", "num")
     found = left.alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & near)
     return found.select(F.col("x.num").alias("num_x"), F.col("y.num").alias("num_y")).distinct()
@@ -186,7 +204,7 @@ def near_duplicates(records: DataFrame, id_col: str = "id", text_col: str = "raw
     than a shingle are in no class; null ids don't count, a repeated row counts once; an empty table gives empty results.
     """
     texts = records.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    prints = cut_lineage(texts.mapInArrow(_fingerprints(shingle), "id string, digest binary, keys array<bigint>, s1 bigint, s2 bigint"))
+    prints = cut_lineage(texts.mapInArrow(_fingerprints(shingle), "id string, digest binary, keys array<bigint>, size int, filled int, " + ", ".join(f"{s} bigint" for s in _SKETCH)))
     # Copies first, by digests alone: only they are left out of what follows, so that no fingerprint has to move for it.
     ids = prints.select("id", "digest").distinct()
     copied = cut_lineage(ids.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "rep"))
@@ -194,7 +212,7 @@ def near_duplicates(records: DataFrame, id_col: str = "id", text_col: str = "raw
     classes = prints.join(_few(members.where("id <> rep").select("id")), "id", "left_anti")
 
     num = F.xxhash64("id").alias("num")
-    candidates = cut_lineage(_meet(classes.select(F.explode("keys").alias("key"), num), classes.select(num, "s1", "s2"), most_mismatches(threshold)))
+    candidates = cut_lineage(_meet(classes.select(F.explode("keys").alias("key"), num), classes.select(num, "size", "filled", *_SKETCH), threshold))
     needed = candidates.select(F.col("num_x").alias("num")).union(candidates.select("num_y")).distinct()
     reps = cut_lineage(classes.select("id", F.xxhash64("id").alias("num")).join(needed, "num"))
     # Only the texts that a candidate needs go on; both sides of the pairs read them from one written copy.

@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 from corvath.llm import near_duplicates as nd
 
@@ -61,6 +63,46 @@ def test_pairs_that_eight_words_miss(spark):
     assert {tuple(r) for r in nd.all_pairs(members, links).collect()} == expected
 
 
+def test_what_a_site_repeats_makes_no_candidates(spark, monkeypatch):
+    rng, wrote, cut = random.Random(5), [], nd.cut_lineage
+    shared = " ".join(f"s{i}" for i in range(40))
+    docs = [(f"d{i:02d}", shared + " " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))) for i in range(40)]
+    docs += [("e0", docs[0][1] + " more words"), ("e1", docs[1][1] + " other words")]
+    monkeypatch.setattr(nd, "cut_lineage", lambda df: wrote.append(cut(df)) or wrote[-1])
+    members, links = nd.near_duplicates(spark.createDataFrame(docs, "id string, raw_content string"), threshold=0.6, shingle=3)
+    assert {tuple(r) for r in nd.all_pairs(members, links).collect()} == brute(docs, 0.6, 3) == {("d00", "e0"), ("d01", "e1")}
+    assert [df.count() < 10 for df in wrote if df.columns == ["num_x", "num_y"]] == [True]
+
+
+def test_sketches_keep_pairs_at_the_threshold(spark):
+    rng, rows = random.Random(6), []
+    for n in (3, 5, 8, 20, 60, 150, 400, 1500):
+        for _ in range(25):
+            common = -(-6 * n // 10)
+            both, own = rng.sample(range(2**62), common), [rng.sample(range(2**62), k) for k in ((n - common) // 2, n - common - (n - common) // 2)]
+            pair = [nd.np.unique(nd.np.array(both + o, dtype=nd.np.uint64) * nd.np.uint64(0xD6E8FEB86659FD93)) for o in own]
+            rows.append([v for h in pair for sketch, filled in [nd.sketch_of(h)] for v in (len(h), filled, *sketch.tolist())])
+    names = [f"{c}{v}" for c in "xy" for v in ("size", "filled", *nd._SKETCH)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} bigint" for n in names))
+    both = df.select(*[nd.F.struct(*[nd.F.col(c + v).alias(v) for v in ("size", "filled", *nd._SKETCH)]).alias(c) for c in "xy"])
+    assert both.where(nd.may_be_near(0.6)).count() == len(rows)
+
+
+def test_shuffles_of_a_step_are_removed(spark):
+    rng = random.Random(7)
+    docs = [(f"{i}", " ".join(f"v{rng.randrange(10**6)}" for _ in range(20))) for i in range(800)]
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+
+    def files():
+        return {p: os.path.getsize(p) for d in dirs for at, _, names in os.walk(d.getPath()) for n in names if n.startswith("shuffle_") and os.path.exists(p := os.path.join(at, n))}
+
+    before, end = files(), time.time() + 20
+    kept = nd.near_duplicates(spark.createDataFrame(docs, "id string, raw_content string"), threshold=0.6, shingle=3)
+    while (left := sum(n for p, n in files().items() if p not in before)) > 50_000 and time.time() < end:
+        time.sleep(0.5)
+    assert left <= 50_000 and kept[0].count() == 800
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}", 1.0) for i in range(60)] + [("x", "y", 1.0)], "x string, y string, similarity double")
     got = {r.rep: r.label for r in nd.components(links).collect()}
